@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nucleoflow.functions import vectors as V
 from nucleoflow.session import materialize
 
 MAX_BUCKETS = 512
@@ -163,9 +164,9 @@ def dense_order(
     start = min_rank_desc() if descending else min_rank()
     ranked = with_ranks(df, value, {"_start": start}, keys)
     tied = ranked.withColumn("_tie", _tie_number(ranked, tie))
-    tied = with_ranks(tied, "_tie", {"_pos": min_rank()}, [*keys, value])
-    return tied.withColumn(out, (F.col("_start") + F.col("_pos") - 1).cast("bigint")).drop(
-        "_start", "_tie", "_pos"
+    tied = with_ranks(tied, "_tie", {"_intie": min_rank()}, [*keys, value])
+    return tied.withColumn(out, (F.col("_start") + F.col("_intie") - 1).cast("bigint")).drop(
+        "_start", "_tie", "_intie"
     )
 
 
@@ -279,22 +280,27 @@ def rolling_mean_padded(vec: Column, size: int, k: int) -> Column:
     left = (k - 1) // 2
     last = size - k
 
-    def at(i: Column) -> Column:
-        begin = F.greatest(F.lit(0), F.least(i - left, F.lit(last)))
-        window = F.slice(vec, (begin + 1).cast("int"), F.lit(k))
-        return F.aggregate(window, F.lit(0.0), lambda s, v: s + v) / k
+    def smooth(v: Column) -> Column:
+        def at(i: Column) -> Column:
+            begin = F.greatest(F.lit(0), F.least(i - left, F.lit(last)))
+            return V.total(F.slice(v, (begin + 1).cast("int"), F.lit(k))) / k
 
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
+
+    return V.let(vec, smooth)
 
 
 def rolling_mean_truncated(vec: Column, size: int, k: int) -> Column:
     """Centred mean of k // 2 entries on each side, fewer at the borders."""
     half = k // 2
 
-    def at(i: Column) -> Column:
-        begin = F.greatest(F.lit(0), i - half)
-        end = F.least(F.lit(size - 1), i + half)
-        window = F.slice(vec, (begin + 1).cast("int"), (end - begin + 1).cast("int"))
-        return F.aggregate(window, F.lit(0.0), lambda s, v: s + v) / (end - begin + 1)
+    def smooth(v: Column) -> Column:
+        def at(i: Column) -> Column:
+            begin = F.greatest(F.lit(0), i - half)
+            end = F.least(F.lit(size - 1), i + half)
+            part = F.slice(v, (begin + 1).cast("int"), (end - begin + 1).cast("int"))
+            return V.total(part) / (end - begin + 1)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
+    return V.let(vec, smooth)

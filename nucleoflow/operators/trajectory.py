@@ -107,6 +107,7 @@ def variance_cutoff(
     The budget is ``(1 - cut) * n`` truncated in double arithmetic, so 0.9 of 10
     rows keeps none.
     """
+    profile = materialize(profile)
     ok = profile.withColumn("variance", V.sample_variance(F.col("vec"))).where(
         ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)) & (F.col("variance") > 0)
     )
@@ -122,25 +123,11 @@ def variance_cutoff(
     return ok.drop("variance").join(kept.select("feature_id", "variance"), "feature_id")
 
 
-def standardize_rows(vec: Column, limit: float | None, ddof: int = 1) -> Column:
-    """Row z-score, clipped to +-limit; a constant row becomes zeros."""
-    m = V.mean(vec)
-    ss = F.aggregate(vec, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
-    sd = F.sqrt(ss / (F.size(vec) - ddof))
-    sd = F.when(sd > 0, sd).otherwise(F.lit(1.0))
-
-    def one(x: Column) -> Column:
-        z = (x - m) / sd
-        return z if limit is None else F.greatest(F.lit(-limit), F.least(F.lit(limit), z))
-
-    return F.transform(vec, one)
-
-
 def scaled_profiles(
     profile: DataFrame, cut: float | None = 0.9, max_features: int | None = 25000, limit: float = 1.5
 ) -> DataFrame:
     kept = variance_cutoff(profile, cut, max_features)
-    return kept.withColumn("vec", standardize_rows(F.col("vec"), limit))
+    return kept.withColumn("vec", V.standardized(F.col("vec"), limit))
 
 
 def peak_bins(profile: DataFrame) -> DataFrame:
