@@ -11,7 +11,6 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb
-import pandas as pd
 
 import __spark_entry__ as entry
 from nucleoflow import build_session
@@ -29,49 +28,41 @@ def connect(folder: str):
     return con
 
 
-def canon(pdf: pd.DataFrame) -> list[tuple]:
-    pdf = pdf[sorted(pdf.columns)]
-    rows = []
-    for row in pdf.itertuples(index=False):
-        out = []
-        for v in row:
-            if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
-                out.append("~")
-            elif isinstance(v, float):
-                out.append(repr(v))
-            elif hasattr(v, "tolist"):
-                out.append(str(v.tolist()))
+def canon(columns, rows) -> list[tuple]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    out = []
+    for row in rows:
+        cells = []
+        for i in order:
+            v = row[i]
+            if v is None or (isinstance(v, float) and math.isnan(v)):
+                cells.append("~")
             else:
-                out.append(str(v))
-        rows.append(tuple(out))
-    return sorted(rows)
+                cells.append(repr(v))
+        out.append(tuple(cells))
+    return sorted(out)
 
 
 def compare(spark, con, folder, name) -> tuple[bool, str]:
     t0 = time.time()
     df = entry.queries()[name](spark, folder)
-    got = df.toPandas()
+    rows = df.collect()
     t1 = time.time()
     text = entry.oracle_sql().get(name)
     if text is None:
-        return True, f"rows={len(got)} spark={t1 - t0:.1f}s (no SQL twin)"
-    want = con.execute(text).df()
+        sample = rows[0].asDict() if rows else None
+        return len(rows) > 0, f"rows={len(rows)} spark={t1 - t0:.1f}s (no SQL twin) {str(sample)[:200]}"
+    cur = con.execute(text)
+    names, want = [c[0] for c in cur.description], cur.fetchall()
     t2 = time.time()
-    note = f"rows={len(got)}/{len(want)} spark={t1 - t0:.1f}s sql={t2 - t1:.1f}s"
-    if sorted(got.columns) != sorted(want.columns):
-        return False, f"{note} columns {sorted(got.columns)} vs {sorted(want.columns)}"
-    kinds = {
-        c: (str(got[c].dtype), str(want[c].dtype))
-        for c in got.columns
-        if str(got[c].dtype) != str(want[c].dtype)
-    }
-    a, b = canon(got), canon(want)
-    if kinds:
-        note += f" dtypes {kinds}"
+    note = f"rows={len(rows)}/{len(want)} spark={t1 - t0:.1f}s sql={t2 - t1:.1f}s"
+    if sorted(df.columns) != sorted(names):
+        return False, f"{note} columns {sorted(df.columns)} vs {sorted(names)}"
+    a, b = canon(df.columns, rows), canon(names, want)
     if a != b:
         sa, sb = set(a), set(b)
         only = [x for x in a if x not in sb][:3], [x for x in b if x not in sa][:3]
-        return False, f"{note} DIFF {len(sa - sb)} {sorted(got.columns)} {only}"
+        return False, f"{note} DIFF {len(sa - sb)} {sorted(names)} {only}"
     return True, note
 
 
