@@ -20,6 +20,8 @@ from nucleoflow.functions import vectors as V
 from nucleoflow.session import materialize
 
 MAX_BUCKETS = 512
+# At most this many distinct levels in all: one plain window does it.
+SMALL_LEVELS = 50_000
 
 
 def split_points(df: DataFrame, value: str, parts: int | None = None) -> list[float]:
@@ -70,6 +72,17 @@ def levels_from_histogram(
     """As :func:`level_table`, from rows that already carry ``ties``."""
     keys = list(keys)
     hist = materialize(hist)
+    if hist.count() <= SMALL_LEVELS:
+        ordered = Window.partitionBy(*keys) if keys else Window.partitionBy()
+        running = ordered.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return hist.select(
+            *keys,
+            value,
+            "ties",
+            F.coalesce(F.sum("ties").over(running), F.lit(0)).alias("below"),
+            F.sum("ties").over(ordered).alias("total"),
+            F.lit(0.0).alias("_b"),
+        )
     hist = _bucketed(hist, value, split_points(hist, value) if splits is None else splits)
     sums = hist.groupBy(*keys, "_b").agg(F.sum("ties").alias("_bt"))
     earlier = _prefix(keys).rowsBetween(Window.unboundedPreceding, -1)

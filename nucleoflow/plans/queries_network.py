@@ -8,6 +8,7 @@ from nucleoflow.functions import ordering as O
 from nucleoflow.operators import drivers, exports, gam, graph, grn, plotdata
 from nucleoflow.plans import pipelines
 from nucleoflow.plans import proxies as P
+from nucleoflow.plans import queries_qc  # noqa: F401  (shared CTEs)
 from nucleoflow.plans.oracle_base import cte, r6 as R, sql
 from nucleoflow.plans.registry import query, r6, rounded
 
