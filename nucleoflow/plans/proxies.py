@@ -178,7 +178,7 @@ def gene_scores(spark, folder) -> DataFrame:
     s = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     return li.join(s, li.l_suppkey == s.s_suppkey).groupBy(
         F.col("s_nationkey").alias("iter"), F.col("l_partkey").alias("gene")
-    ).agg((F.avg("l_quantity") / 50).alias("score"))
+    ).agg((F.log1p(F.avg("l_quantity")) / 4).alias("score"))
 
 
 def document_markers(spark, folder) -> DataFrame:

@@ -69,7 +69,7 @@ def consensus_auc(spark, d):
     return rounded(consensus.consensus_auc(materialize(consensus.co_clustering(P.iter_labels(spark, d)))), "auc")
 
 
-cte("gsc", [], """SELECT s_nationkey AS iter, l_partkey AS gene, avg(l_quantity) / 50 AS score FROM lineitem
+cte("gsc", [], """SELECT s_nationkey AS iter, l_partkey AS gene, ln(1 + avg(l_quantity)) / 4 AS score FROM lineitem
     JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2""")
 
 
