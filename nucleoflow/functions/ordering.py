@@ -246,10 +246,13 @@ def benjamini_hochberg(
     )
     levels = levels.drop("ties", "below", "total")
     per_bucket = levels.groupBy(*keys, "_b").agg(F.min("_raw").alias("_bm"))
-    later = _prefix(keys).rowsBetween(1, Window.unboundedFollowing)
+    # Descending order with a growing frame: a frame that ends at the last row
+    # would be summed anew for every row.
+    down = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    later = down.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.select(*keys, "_b", F.min("_bm").over(later).alias("_after"))
     upward = (
-        Window.partitionBy(*keys, "_b").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
+        Window.partitionBy(*keys, "_b").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     )
     adjusted = (
         levels.withColumn("_here", F.min("_raw").over(upward))

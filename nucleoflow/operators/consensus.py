@@ -34,7 +34,7 @@ def sample_cells(cells: DataFrame, iters: DataFrame, ratio: float = 0.8) -> Data
     slices = slices.withColumn("_room", room).where("_room > 0")
     inside = Window.partitionBy("iter", "_s").orderBy("_h", "cell_idx")
     return (
-        marked.join(F.broadcast(slices), ["iter", "_s"])
+        marked.join(slices, ["iter", "_s"])
         .withColumn("_r", F.row_number().over(inside))
         .where("_r <= _room")
         .select("iter", "cell_idx")
@@ -51,7 +51,7 @@ def complete_iterations(labels: DataFrame, methods: list[str] = METHODS) -> Data
     full = labels.groupBy("iter").agg(F.count_distinct("method").alias("n")).where(
         F.col("n") == len(methods)
     )
-    return labels.join(F.broadcast(full.select("iter")), "iter", "left_semi")
+    return labels.join(full.select("iter"), "iter", "left_semi")
 
 
 def _weights(weights: dict[str, float] | None) -> dict[str, float]:
@@ -89,9 +89,12 @@ def co_clustering(labels: DataFrame, weights: dict[str, float] | None = None) ->
         F.coalesce(by_run, F.create_map().cast("map<int,int>")).alias("m"),
     ).select(
         "id",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(len(runs) - 1)),
-            lambda i: F.coalesce(F.try_element_at("m", i), F.lit(NOISE)),
+        V.let(
+            F.col("m"),
+            lambda m: F.transform(
+                F.sequence(F.lit(0), F.lit(len(runs) - 1)),
+                lambda i: F.coalesce(F.try_element_at(m, i), F.lit(NOISE)),
+            ),
         ).alias("codes"),
     )
     packed = materialize(packed)
@@ -222,13 +225,11 @@ def agreement(table: DataFrame, a: str = "true_label", b: str = "pred_label") ->
         F.sum(choose2(n)).alias("pairs"),
         F.sum(n * F.log(n)).alias("nlogn"),
     )
-    # Each side is one row; they meet on a constant key.
-    one = F.lit(1).alias("k")
-    row = (
-        joint.select("*", one)
-        .join(side(a, "a").select("*", one), "k")
-        .join(side(b, "b").select("*", one), "k")
-    )
+    # Each side is one row, read as a scalar.
+    row = joint
+    for col, tag in ((a, "a"), (b, "b")):
+        one = side(col, tag).select(F.struct(f"{tag}_pairs", f"{tag}_mlogm").alias("s")).scalar()
+        row = row.withColumns({f"{tag}_pairs": one[f"{tag}_pairs"], f"{tag}_mlogm": one[f"{tag}_mlogm"]})
     expected = F.try_divide(F.col("a_pairs") * F.col("b_pairs"), choose2(F.col("total")))
     ceiling = (F.col("a_pairs") + F.col("b_pairs")) / 2
     ari = F.coalesce(F.try_divide(F.col("pairs") - expected, ceiling - expected), F.lit(1.0))

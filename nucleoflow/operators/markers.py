@@ -17,7 +17,7 @@ def keep_large_clusters(cells: DataFrame, label: str, min_cells: int = 10) -> Da
     """Drop noise (-1, NULL) and clusters with fewer than ``min_cells`` cells."""
     valid = cells.where(F.col(label).isNotNull() & (F.col(label).cast("string") != "-1"))
     big = valid.groupBy(label).count().where(F.col("count") >= min_cells)
-    return valid.join(F.broadcast(big.select(label)), label, "left_semi")
+    return valid.join(big.select(label), label, "left_semi")
 
 
 def rank_sum(values: DataFrame, cells: DataFrame, value: str = "norm") -> DataFrame:

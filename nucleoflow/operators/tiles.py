@@ -58,7 +58,7 @@ def meet(left: DataFrame, right: DataFrame, left_tiles: int, upper_only: bool =
         else F.sequence(F.lit(0), F.lit(left_tiles - 1))
     )
     r = r.withColumn("l_tile", F.explode(targets))
-    return l.join(r.hint("shuffle_hash"), "l_tile")
+    return l.join(r, "l_tile")
 
 
 def reduce_blocks(

@@ -67,9 +67,12 @@ def profiles(
         packed = packed.withColumn(
             "by_bin", F.coalesce("by_bin", F.create_map().cast("map<int,double>"))
         )
-    at = F.transform(
-        F.sequence(F.lit(1), F.lit(n_bins)),
-        lambda b: F.coalesce(F.try_element_at("by_bin", b), F.lit(0.0)),
+    at = V.let(
+        F.col("by_bin"),
+        lambda m: F.transform(
+            F.sequence(F.lit(1), F.lit(n_bins)),
+            lambda b: F.coalesce(F.try_element_at(m, b), F.lit(0.0)),
+        ),
     )
     out = packed.select("feature_id", at.alias("vec"))
     if scale_to is not None or log2:
@@ -157,11 +160,11 @@ def centroids(points: DataFrame, group: str, dims: int, vec: str = "vec") -> Dat
 def distance_filter(points: DataFrame, group: str, dims: int, q: float = 0.9) -> DataFrame:
     """Keep rows no farther from their group centroid than the q-quantile distance."""
     centre = centroids(points, group, dims)
-    far = points.join(F.broadcast(centre), group).withColumn(
+    far = points.join(centre, group).withColumn(
         "distance", V.distance(F.col("vec"), F.col("centroid"))
     )
     cut = O.exact_quantiles(far, "distance", {"cut": q}, [group])
-    return far.join(F.broadcast(cut), group).where("distance <= cut").drop("centroid", "cut")
+    return far.join(cut, group).where("distance <= cut").drop("centroid", "cut")
 
 
 def initial_times(
@@ -180,7 +183,7 @@ def initial_times(
     plan = spark.createDataFrame(steps, f"{group} string, step int, toward string, is_last boolean")
     centre = centroids(kept, group, dims).select(F.col(group).alias("toward"), "centroid")
     aimed = kept.drop("distance").withColumn(group, F.col(group).cast("string")).join(
-        F.broadcast(plan.join(F.broadcast(centre.withColumn("toward", F.col("toward").cast("string"))), "toward", "left")),
+        plan.join(centre.withColumn("toward", F.col("toward").cast("string")), "toward", "left"),
         group,
     )
     aimed = aimed.withColumn("distance", V.distance(F.col("vec"), F.col("centroid")))

@@ -23,6 +23,9 @@ def build_session(app: str = "nucleoflow", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Tile rows carry whole blocks, so a batch must not hold many of them.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k: str(v) for k, v in conf.items()})
     for key, value in settings.items():

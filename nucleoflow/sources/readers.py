@@ -39,7 +39,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offset = sizes.select("block", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("block").orderBy("m")
-    return rows.join(F.broadcast(offset), "block").select(
+    return rows.join(offset, "block").select(
         (F.col("before") + F.row_number().over(inside)).alias("n"), "value"
     )
 
