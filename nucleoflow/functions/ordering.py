@@ -145,10 +145,17 @@ def with_ranks(
     keys: Sequence[str] = (),
     splits: Sequence[float] | None = None,
     fill: float | None = None,
+    fixed: bool = False,
 ) -> DataFrame:
-    """Attach rank expressions; rows with NULL value get ``fill``."""
+    """Attach rank expressions; rows with NULL value get ``fill``.
+
+    Ranks are joined back on the value. A computed value can differ in its last
+    bits when it is evaluated twice, so the rows are stored first; ``fixed`` says
+    that the values are stored already (a table column or a checkpoint).
+    """
     keys = list(keys)
     df = df.withColumn(value, F.col(value).cast("double"))
+    df = df if fixed else materialize(df)
     levels = level_table(df, value, keys, splits).select(
         *keys, value, *[e.alias(n) for n, e in outputs.items()]
     )
@@ -166,7 +173,13 @@ def _tie_number(df: DataFrame, tie: str) -> Column:
 
 
 def dense_order(
-    df: DataFrame, value: str, tie: str, out: str, keys: Sequence[str] = (), descending: bool = True
+    df: DataFrame,
+    value: str,
+    tie: str,
+    out: str,
+    keys: Sequence[str] = (),
+    descending: bool = True,
+    fixed: bool = False,
 ) -> DataFrame:
     """Row number by ``value`` then ``tie`` ascending; ``tie`` is unique.
 
@@ -175,9 +188,9 @@ def dense_order(
     """
     keys = list(keys)
     start = min_rank_desc() if descending else min_rank()
-    ranked = with_ranks(df, value, {"_start": start}, keys)
+    ranked = with_ranks(df, value, {"_start": start}, keys, fixed=fixed)
     tied = ranked.withColumn("_tie", _tie_number(ranked, tie))
-    tied = with_ranks(tied, "_tie", {"_intie": min_rank()}, [*keys, value])
+    tied = with_ranks(tied, "_tie", {"_intie": min_rank()}, [*keys, value], fixed=True)
     return tied.withColumn(out, (F.col("_start") + F.col("_intie") - 1).cast("bigint")).drop(
         "_start", "_tie", "_intie"
     )
@@ -191,7 +204,7 @@ def top_n(
     Only the level that straddles the border is ordered by ``tie``.
     """
     keys = list(keys)
-    df = df.withColumn(value, F.col(value).cast("double"))
+    df = materialize(df.withColumn(value, F.col(value).cast("double")))
     levels = level_table(df, value, keys)
     before = F.col("total") - F.col("below") - F.col("ties")
     limit = n if isinstance(n, Column) else F.lit(n)
@@ -199,7 +212,7 @@ def top_n(
     hit = df.join(levels.select(*keys, value, "ties", "_room"), [*keys, value])
     whole = hit.where("_room >= ties")
     part = hit.where("_room < ties").withColumn("_tie", _tie_number(hit, tie))
-    part = with_ranks(part, "_tie", {"_pos": min_rank()}, [*keys, value]).where("_pos <= _room")
+    part = with_ranks(part, "_tie", {"_pos": min_rank()}, [*keys, value], fixed=True).where("_pos <= _room")
     return whole.drop("ties", "_room").unionByName(part.drop("ties", "_room", "_tie", "_pos"))
 
 
@@ -236,11 +249,15 @@ P_VALUE_SPLITS = [10.0**-e for e in range(300, 1, -4)] + [i / 64 for i in range(
 
 
 def benjamini_hochberg(
-    df: DataFrame, p: str = "p_value", out: str = "fdr", keys: Sequence[str] = ()
+    df: DataFrame, p: str = "p_value", out: str = "fdr", keys: Sequence[str] = (), fixed: bool = False
 ) -> DataFrame:
-    """Monotone step-up false-discovery rate per group; NULL p stays NULL."""
+    """Monotone step-up false-discovery rate per group; NULL p stays NULL.
+
+    ``fixed`` as in :func:`with_ranks`.
+    """
     keys = list(keys)
     df = df.withColumn(p, F.col(p).cast("double"))
+    df = df if fixed else materialize(df)
     levels = level_table(df, p, keys, sorted(P_VALUE_SPLITS)).withColumn(
         "_raw", F.col(p) * F.col("total") / (F.col("below") + F.col("ties"))
     )

@@ -67,7 +67,7 @@ def tf_gene_correlation(
         g = g.join(genes.select(F.col("gene").alias("feature_id")), "feature_id", "left_semi")
     r = correlation_blocks(materialize(t), materialize(g), "tf", "gene")
     tested = materialize(linking.with_tests(r, "correlation", F.lit(n_bins), "t_stat", "p_value"))
-    return O.benjamini_hochberg(tested, "p_value", "fdr")
+    return O.benjamini_hochberg(tested, "p_value", "fdr", fixed=True)
 
 
 def mean_activity_by_name(activity: DataFrame, names: DataFrame) -> DataFrame:
@@ -111,13 +111,13 @@ def select_tfs(
         F.col("TStat").alias("t_stat"),
         F.col("pvalue").alias("p_value"),
     )
-    out = O.benjamini_hochberg(materialize(tested), "p_value", "adj_p")
+    out = O.benjamini_hochberg(materialize(tested), "p_value", "adj_p", fixed=True)
     passed = (F.col("adj_p") < p_cutoff) & (F.col("correlation") > correlation_threshold)
     out = materialize(out.withColumn("pass_filters", passed))
-    out = O.with_ranks(out, "correlation", {"correlation_rank_all": O.min_rank_desc()})
+    out = O.with_ranks(out, "correlation", {"correlation_rank_all": O.min_rank_desc()}, fixed=True)
     good = out.where("pass_filters")
     ranked = O.with_ranks(
-        good.select("tf", "correlation"), "correlation", {"correlation_rank_passed": O.min_rank_desc()}
+        good.select("tf", "correlation"), "correlation", {"correlation_rank_passed": O.min_rank_desc()}, fixed=True
     ).select("tf", "correlation_rank_passed")
     chosen = good.select("tf", "correlation")
     if n_tfs is not None:
@@ -235,4 +235,4 @@ def network_support(weighted: DataFrame) -> DataFrame:
 def rank_network_support(weighted: DataFrame) -> DataFrame:
     """Network support with its row-number rank (highest first, name on ties)."""
     support = materialize(network_support(weighted))
-    return O.dense_order(support, "NetworkSupport", "TF", "NetworkSupport_rank")
+    return O.dense_order(support, "NetworkSupport", "TF", "NetworkSupport_rank", fixed=True)

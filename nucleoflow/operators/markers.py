@@ -89,7 +89,7 @@ def marker_test(values: DataFrame, cells: DataFrame, value: str = "norm") -> Dat
     tested = rank_sum(values, cells, value).withColumn(
         "pval", F.coalesce(tails.normal_two_sided_p(F.col("z")), F.lit(1.0))
     )
-    return O.benjamini_hochberg(materialize(tested), "pval", "pval_adj", ["cluster"])
+    return O.benjamini_hochberg(materialize(tested), "pval", "pval_adj", ["cluster"], fixed=True)
 
 
 def top_markers(

@@ -162,7 +162,7 @@ def infer_trajectory(
         pick(1, "distance").alias("gap"),
     )
     placed = materialize(placed)
-    placed = O.with_ranks(placed, "gap", {"q": O.empirical_quantile(mode)})
+    placed = O.with_ranks(placed, "gap", {"q": O.empirical_quantile(mode)}, fixed=True)
     side = F.when(F.col("i2") > F.col("i3"), 1).otherwise(-1)
     placed = placed.withColumn("order", F.col("i1") + base + side * F.col("q"))
     cut = O.exact_quantiles(placed, "gap", {"cut": post_quantile}).scalar()

@@ -163,6 +163,7 @@ def distance_filter(points: DataFrame, group: str, dims: int, q: float = 0.9) ->
     far = points.join(centre, group).withColumn(
         "distance", V.distance(F.col("vec"), F.col("centroid"))
     )
+    far = materialize(far)  # the cut is compared with the very values it came from
     cut = O.exact_quantiles(far, "distance", {"cut": q}, [group])
     return far.join(cut, group).where("distance <= cut").drop("centroid", "cut")
 

@@ -59,7 +59,7 @@ def cells(spark, folder) -> DataFrame:
         F.col("c_mktsegment").alias("cell_type"),
         "c_acctbal",
     )
-    return O.with_ranks(c, "c_acctbal", {"_q": O.empirical_quantile()}).select(
+    return O.with_ranks(c, "c_acctbal", {"_q": O.empirical_quantile()}, fixed=True).select(
         "cell_id", "name", "cell_type", "c_acctbal", (F.col("_q") * 100).alias("trajectory")
     )
 

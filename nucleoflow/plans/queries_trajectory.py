@@ -23,7 +23,7 @@ _AVG = "(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2
     FROM customer""")
 def empirical_quantile_round5(spark, d):
     c = P.table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), "c_acctbal")
-    return O.with_ranks(c, "c_acctbal", {"q": O.empirical_quantile("round5")}).select("cell_id", "q")
+    return O.with_ranks(c, "c_acctbal", {"q": O.empirical_quantile("round5")}, fixed=True).select("cell_id", "q")
 
 
 @query("pct_rank_avg", f"""SELECT c_custkey AS id, c_mktsegment AS grp,
