@@ -26,8 +26,8 @@ BROADCAST_ROWS = 20_000
 MEASURES = {
     "word_length": ("word_chars", "n_words", 3000, True),
     "symbols": ("n_symbols", "n_words", 100, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 300, False),
-    "repeats": ("n_repeat_words", "n_words", 150, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 500, False),
+    "repeats": ("n_repeat_words", "n_words", 300, False),
 }
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 

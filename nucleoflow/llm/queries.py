@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nucleoflow.llm import mixing, quality, token_file, warc
+from nucleoflow.llm import minhash, mixing, quality, token_file, warc
 from nucleoflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -22,6 +22,11 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op2_near_duplicates")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_mix_sources", mixing.OP5_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
