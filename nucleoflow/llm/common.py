@@ -60,3 +60,12 @@ def numbered(df: DataFrame, *keys: Column, name: str = "index") -> DataFrame:
     starts = counts.select("_part", before.alias("_before"))
     place = F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
     return held.join(starts, "_part").withColumn(name, place).drop("_part", "_at", "_before")
+
+
+#: Rows of a grouped table that may be broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of groups, marked for broadcast only if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

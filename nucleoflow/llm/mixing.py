@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nucleoflow.llm.common import WORD, fresh, numbered
+from nucleoflow.llm.common import WORD, fresh, numbered, small
 from nucleoflow.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -83,7 +83,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         rows = sized.where("size > 0").withColumn("bucket", F.shiftright("hash", shift))
         same = rows["source"].eqNullSafe(state["source"])
         inside = rows.join(
-            state, same & (F.shiftright(rows["bucket"], LEVEL_BITS) == state["prefix"])
+            small(state), same & (F.shiftright(rows["bucket"], LEVEL_BITS) == state["prefix"])
         ).select(rows["source"], "bucket", "size", "rounds", "left")
         sums = inside.groupBy("source", "bucket", "rounds", "left").agg(F.sum("size").alias("words"))
         running = sums.withColumn("through", F.sum("words").over(by_source))
@@ -132,6 +132,7 @@ def _taken(sized: DataFrame, share: float, cap: float, weights: tuple) -> DataFr
     )
     more = (F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & F.col("with_edge"))
     times = F.col("rounds") + F.coalesce(more, F.lit(False)).cast("long")
+    plan = small(materialize(plan))
     return sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "source", "hash", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times")
     )

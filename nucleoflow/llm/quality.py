@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from nucleoflow.llm.common import fresh
+from nucleoflow.llm.common import fresh, small
 from nucleoflow.session import materialize
 
 WINDOW = 8
@@ -19,8 +19,6 @@ SPACE = b" \t\n\x0b\x0c\r"
 GAMMA = 1.02
 #: A group with fewer documents takes the quantiles of its language's merged sketch.
 MIN_GROUP = 200
-#: Rows of thresholds that may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 20_000
 #: measure: (numerator, denominator, least distance kept free above the upper
 #: quartile in thousandths, whether low values fail as well)
 MEASURES = {
@@ -134,11 +132,9 @@ def thresholds(rows: DataFrame, spread: float = 4.0) -> DataFrame:
 
 def verdict(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """``rows`` with the limits of their group joined as struct ``limit`` and boolean ``ok``."""
-    limits = limits.select(
-        F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*limits.columns[2:]).alias("limit")
+    limits = small(
+        limits.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*limits.columns[2:]).alias("limit"))
     )
-    if limits.count() <= BROADCAST_ROWS:
-        limits = F.broadcast(limits)
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
     ok = ~base_failed(F.col("s"))
     for m, (_, _, _, two_sided) in MEASURES.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nucleoflow.llm import minhash, mixing, quality, token_file, warc
+from nucleoflow.llm import lines, minhash, mixing, quality, token_file, warc
 from nucleoflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -38,6 +38,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return token_file.read_digests(spark, path)
 
 
+@query("op7_fuzzy_lines")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(table(spark, folder, "documents"))
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.assess(table(spark, folder, "documents"))
