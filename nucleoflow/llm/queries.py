@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nucleoflow.llm import lines, minhash, mixing, pieces, quality, token_file, warc
+from nucleoflow.llm import lines, minhash, mixing, pieces, quality, suffixes, token_file, warc
 from nucleoflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,6 +23,11 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, folder, "documents")).drop("kept")
+
+
 @query("op2_near_duplicates")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
