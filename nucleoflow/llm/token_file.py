@@ -13,11 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nucleoflow.llm.common import null_back, partitions, shared_folder, texts
+from nucleoflow.llm.common import null_back, partitions, shared_folder, small, texts
+from nucleoflow.session import materialize
 
 MAGIC = b"TOKS0001"
 SHARD_IDS = 1 << 21
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 SELECT_STEP = 64
 
 
@@ -108,11 +109,15 @@ def unpack_shard(data: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
 class WordEncoder:
     """Encodes texts with a tokenizer that treats chunks between spaces apart.
 
-    Each new chunk is encoded once and kept; a full stop or comma after an
+    Each new chunk is encoded once and kept. A full stop or comma after an
     ASCII letter or digit is a chunk of its own, as it is in the tokenizer.
+    Where that lowers case anyway, texts of one-byte characters without special
+    tokens are lowered first, so that fewer chunks differ.
     """
 
     _loaded: dict = {}
+    _apart = re.compile(r"(?<=[A-Za-z0-9])([.,])(?=[ \n]|\Z)")
+    _other = re.compile(r"[^A-Za-z0-9 \n][.,](?:[ \n]|\Z)")
 
     def __init__(self, path: str):
         import os
@@ -121,9 +126,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 65_536
-        self.dtype = np.uint32 if self.wide else np.uint16
+        self.dtype = np.uint32 if self.tokenizer.get_vocab_size() > 65_536 else np.uint16
         self.cache: dict[str, bytes] = {"": b""}
+        upper, lower = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Aé É", "aé é"))
+        self.lowers = upper == lower
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -131,19 +137,36 @@ class WordEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    _mark = re.compile(r"(?<=[A-Za-z0-9])([.,])(?=[ \n]|\Z)")
-
-    def encode(self, many: list[str]) -> list[bytes]:
-        split = [self._mark.sub(r" \1", t).replace("\n", " ").split(" ") for t in many]
+    def _chunks(self, text: str) -> list[str]:
+        if self.lowers and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        if self._other.search(text):
+            text = self._apart.sub(r" \1", text)
+        else:  # every such mark stands after a letter, digit or space
+            text = f"{text} ".replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, new: list[str]) -> None:
         if len(self.cache) > CACHE_WORDS:
             self.cache = {"": b""}
-        new = list({w for words in split for w in words}.difference(self.cache))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.cache.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+
+    def encode(self, many: list[str]) -> list[bytes]:
+        split = [self._chunks(t) for t in many]
+        coded = [list(map(self.cache.get, words)) for words in split]
+        gaps = [[i for i, c in enumerate(ids) if c is None] if None in ids else [] for ids in coded]
+        self._learn(list({words[i] for words, at in zip(split, gaps, strict=True) for i in at}))
+        for words, ids, at in zip(split, coded, gaps, strict=True):
+            for i in at:
+                ids[i] = self.cache[words[i]]
+        return list(map(b"".join, coded))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
@@ -223,7 +246,7 @@ def _read(spark, path: str, whole: bool) -> DataFrame:
                 )
 
     kind = "ids binary" if whole else "ids_crc32 long"
-    rows = files.join(starts, ["part", "seq"]).select("base", "shard").mapInArrow(documents, f"doc_id long, start long, n_tokens long, {kind}")
+    rows = files.join(small(materialize(starts)), ["part", "seq"]).select("base", "shard").mapInArrow(documents, f"doc_id long, start long, n_tokens long, {kind}")
     return rows.withColumn("doc_id", null_back("doc_id"))
 
 
