@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nucleoflow.llm import lines, minhash, mixing, pieces, quality, suffixes, token_file, warc
+from nucleoflow.llm import lines, minhash, mixing, pieces, quality, sketches, suffixes, token_file, warc
 from nucleoflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -33,6 +33,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op3_fingerprints")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.compared(table(spark, folder, "documents"))
+
+
 @query("op4_sentencepiece")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encoded(table(spark, folder, "documents"), pieces.read_model(vocabulary(PIECES)))
