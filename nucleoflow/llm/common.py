@@ -69,3 +69,10 @@ BROADCAST_ROWS = 20_000
 def small(df: DataFrame) -> DataFrame:
     """``df``, a stored table of groups, marked for broadcast only if it has few rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once to a table in the shared folder; compressed, unlike a checkpoint, so fit for texts."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

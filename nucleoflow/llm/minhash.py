@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nucleoflow.llm.common import NULL_ID, null_back, texts
+from nucleoflow.llm.common import NULL_ID, null_back, stored, texts
 from nucleoflow.llm.hashing import byte_chunks, mix64, shingles, word_hashes
 from nucleoflow.operators.graph import components
 from nucleoflow.session import materialize
@@ -20,9 +20,9 @@ from nucleoflow.session import materialize
 #: 25 bands of 5 rows miss a pair of similarity 0.85 with a chance of 5e-7, and one of 0.8 with 5e-5.
 BANDS, ROWS = 25, 5
 #: A pair is pruned once the posterior chance that it is similar enough is below this.
-MISS = 1e-9
+MISS = 1e-7
 BATCH = 25
-TILE = 512
+TILE = 256
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -82,20 +82,24 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
+def band_codes(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit code for each of the 25 bands of each signature."""
+    parts = sig.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    code = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
+    for r in range(ROWS):
+        code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+    return code.view(np.int64)
+
+
 def _bands(classes: DataFrame) -> DataFrame:
     """(band, cid) for the 25 bands of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
         for batch in batches:
-            if not len(batch):
-                continue
-            sig = _matrix(batch.column(1)).astype(np.uint64).reshape(-1, BANDS, ROWS)
-            code = np.broadcast_to(order, sig.shape[:2])
-            for r in range(ROWS):
-                code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-            cid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64).ravel()), pa.array(cid)], names=["band", "cid"])
+            if len(batch):
+                cid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+                code = band_codes(_matrix(batch.column(1))).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(cid)], names=["band", "cid"])
 
     return classes.select("cid", "sig").mapInArrow(run, "band long, cid long")
 
@@ -119,63 +123,75 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of distinct hashes share ``percent`` of their union."""
+    common = np.intersect1d(x, y, assume_unique=True).size
+    return bool(common) and 100 * common >= percent * (x.size + y.size - common)
+
+
+def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    for _, data, offsets in byte_chunks(column):
+        words, at = word_hashes(data, offsets)
+        yield from (shingles(words[x:y], size) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def _confirmed(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
     """The (a, b) whose whole shingle sets are similar enough, as (src, dst)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            for _, data, offsets in byte_chunks(column):
-                words, at = word_hashes(data, offsets)
-                yield from (shingles(words[x:y], size) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-
         for batch in batches:
-            good = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                common = np.intersect1d(x, y, assume_unique=True).size
-                good.append(bool(common) and 100 * common >= percent * (x.size + y.size - common))
+            both = zip(sets_of(batch.column(2), size), sets_of(batch.column(3), size), strict=True)
+            good = [similar(x, y, percent) for x, y in both]
             yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = materialize(texts(docs).join(ids, "doc_id", "left_semi"))
-    both = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
-        needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
+    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
+        held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
     )
     rows = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "ta", "tb")
     return rows.mapInArrow(run, "src long, dst long").distinct()
 
 
-def _across(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of one band and different components, tile by tile.
+def _across(members: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (src, dst) between members of one band and different components.
 
     A band's members are dealt into tiles of bounded size and two tiles meet in
-    one task, so neither a group nor its pairs are ever held or written whole.
+    one task. There a pair is pruned by its signatures, then confirmed on the
+    full sets, the likeliest first; a link joins the components, so what
+    follows from it isn't compared and at most one link a member is written. A
+    pair is compared in the first of its common bands only.
     """
     by_band = Window.partitionBy("band").orderBy("cid")
-    tiled = members.withColumn("tile", F.floor((F.row_number().over(by_band) - 1) / TILE).cast("int"))
+    tiled = materialize(members.withColumn("tile", F.floor((F.row_number().over(by_band) - 1) / TILE).cast("int")))
     last = tiled.groupBy("band").agg(F.max("tile").alias("last"))
-    rows = tiled.join(last, "band").join(sigs, "cid")
-    mine = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    mine = mine.select(
-        "band", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "cid", "component", "sig"
-    )
+    met = tiled.join(last, "band").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    met = met.select("band", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "cid", "component")
+    rows = met.join(held.withColumnRenamed("doc_id", "cid"), "cid")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        t1, tile = table.column("t1")[0].as_py(), table.column("tile").to_numpy()
-        sig = _matrix(table.column("sig").combine_chunks())
-        cid, comp = table.column("cid").to_numpy(), table.column("component").to_numpy()
+        band, t1, t2 = (table.column(c)[0].as_py() for c in ("band", "t1", "t2"))
+        tile, cid = table.column("tile").to_numpy(), table.column("cid").to_numpy()
+        sets = list(sets_of(table.column("text").chunk(0), size))
+        sig = np.stack([signature(x) for x in sets])
+        codes = band_codes(sig)
+        k = int((codes == band).sum(axis=0).argmax())
+        comp = table.column("component").to_numpy().copy()
         left = np.flatnonzero(tile == t1)
-        right = left if table.column("t2")[0].as_py() == t1 else np.flatnonzero(tile != t1)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        right = left if t2 == t1 else np.flatnonzero(tile == t2)
+        src, dst = [], []
         for i in left.tolist():
             others = right[comp[right] != comp[i]]
-            others = others[cid[others] > cid[i]] if right is left else others
+            others = others[others > i] if t1 == t2 else others
+            others = others[~(codes[others, :k] == codes[i, :k]).any(axis=1)]
             good = others[survivors(np.broadcast_to(sig[i], (others.size, sig.shape[1])), sig[others], percent)]
-            out_a.append(np.minimum(cid[good], cid[i]))
-            out_b.append(np.maximum(cid[good], cid[i]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+            for j in good[np.argsort(-(sig[good] == sig[i]).sum(axis=1), kind="stable")].tolist():
+                if comp[i] != comp[j] and similar(sets[i], sets[j], percent):
+                    src.append(min(cid[i], cid[j]))
+                    dst.append(max(cid[i], cid[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return mine.groupBy("band", "t1", "t2").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("band", "t1", "t2").applyInArrow(run, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
@@ -184,8 +200,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     Texts whose sets of ``size``-word shingles share ``percent`` of their union
     are linked; a component is named by its smallest doc_id. Equal sets form a
     class, which takes part once. Members of a band first meet the band's least
-    class; only bands that still hold several components are compared tile by
-    tile, so no pair that shares a band is left out. Null or wordless texts are
+    class; bands whose further members are still in several components are
+    compared tile by tile, so no pair that shares a band is left out. Null or wordless texts are
     linked with nothing. Rows that share a doc_id count as one document with
     several texts. An empty table gives no rows.
     """
@@ -199,19 +215,18 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     bands = _bands(sigs)
     groups = bands.groupBy("band").agg(F.min("cid").alias("head"), F.max("cid").alias("tail")).where("head < tail")
     members = materialize(bands.join(groups.select("band", "head"), "band"))
+    ids = members.select(F.col("cid").alias("doc_id")).distinct()
+    held = stored(texts(docs).join(ids, "doc_id", "left_semi"), "near-texts")
     stars = members.where("cid > head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
-    links = materialize(_confirmed(materialize(_pruned(stars, sigs, percent)), docs, size, percent))
+    links = materialize(_confirmed(_pruned(stars, sigs, percent), held, size, percent))
     found = components(links)
-    labelled = members.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "band", "cid", F.coalesce("component", "cid").alias("component")
-    )
-    labelled = materialize(labelled)
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rest = labelled.join(mixed.select("band"), "band", "left_semi")
-    more = materialize(_across(rest, sigs, percent))
+    others = members.where("cid > head").join(found.withColumnRenamed("node", "cid"), "cid", "left")
+    others = materialize(others.select("band", "cid", F.coalesce("component", "cid").alias("component")))
+    several = others.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    rest = others.join(several.select("band"), "band", "left_semi")
+    more = materialize(_across(rest, held, size, percent))
     if not more.isEmpty():
-        links = materialize(links.union(_confirmed(more, docs, size, percent)))
-        found = components(links)
+        found = components(materialize(links.union(more)))
     labels = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
         "digest", F.coalesce("component", "cid").alias("component_id")
     )

@@ -17,7 +17,7 @@ from nucleoflow.llm.common import fresh, null_back, texts
 
 SPACE = "▁"
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 1_000_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -140,44 +140,72 @@ class Transducer:
 
     def path(self, segment: str) -> bytes:
         """Ids along the shortest path over one segment, as unsigned 32-bit integers."""
-        n, known, holds = len(segment), self.ids, self.holds
-        dist, back, last = [0.0] + [np.inf] * n, [0] * (n + 1), [""] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(j - self.longest if j > self.longest else 0, j):
-                piece = segment[i:j]
-                if piece in known or j - i == 1:
-                    if self.unigram:
-                        d = dist[i] + self.weight(last[i], piece)
-                        if d < dist[j]:
-                            dist[j], back[j], last[j] = d, i, piece
-                    elif holds.get((last[i], piece)) or ((last[i], piece) not in holds and not self.weight(last[i], piece)):
-                        # weight 0, and every other arc to this place weighs infinity
-                        back[j], last[j] = i, piece
-                        break
         out: list[int] = []
-        j = n
-        while j:
-            if last[j] in known:
-                out.append(known[last[j]])
+        for piece in self._least(segment) if self.unigram else self._unbroken(segment):
+            if piece in self.ids:
+                out.append(self.ids[piece])
             elif self.bytes:
-                out += [self.bytes[b] for b in reversed(last[j].encode("utf-8", "surrogatepass"))]
+                out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
+        return np.array(out, np.uint32).tobytes()
+
+    def _least(self, segment: str) -> list[str]:
+        n, known = len(segment), self.ids
+        dist, back = [0.0] + [np.inf] * n, [0] * (n + 1)
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                if segment[i:j] in known or j - i == 1:
+                    d = dist[i] + self.weight("", segment[i:j])
+                    if d < dist[j]:
+                        dist[j], back[j] = d, i
+        out, j = [], n
+        while j:
+            out.append(segment[back[j] : j])
             j = back[j]
-        return np.array(out[::-1], np.uint32).tobytes()
+        return out[::-1]
+
+    def _unbroken(self, segment: str) -> list[str]:
+        """The path of weight 0. A place that one piece reaches at weight 0 is reached by no other piece, so a dead end is left for good."""
+        n, known, holds = len(segment), self.ids, self.holds
+        dead = [False] * (n + 1)
+        path: list[str] = []
+        i, last, size = 0, "", min(self.longest, n)
+        while i < n:
+            while size:
+                piece = segment[i : i + size]
+                if (size == 1 or piece in known) and not dead[i + size]:
+                    hold = holds.get((last, piece))
+                    if hold or (hold is None and not self.weight(last, piece)):
+                        break
+                size -= 1
+            if size:
+                path.append(piece)
+                i, last = i + size, piece
+                size = min(self.longest, n - i)
+            else:
+                dead[i] = True
+                i, size = i - len(last), len(last) - 1
+                path.pop()
+                last = path[-1] if path else ""
+        return path
 
     def encode(self, text: str) -> bytes:
-        cache, out = self.cache, []
-        for segment in self.segments.findall(self.normalise(text)):
-            ids = cache.get(segment)
-            if ids is None:
-                if len(cache) >= CACHE_SEGMENTS:
-                    cache.clear()
-                if len(self.holds) >= CACHE_SEGMENTS:
-                    self.holds.clear()
-                ids = cache[segment] = self.path(segment)
-            out.append(ids)
-        return b"".join(out)
+        segments = self.segments.findall(self.normalise(text))
+        ids = list(map(self.cache.get, segments))
+        if None in ids:
+            cache = self.cache
+            if len(cache) >= CACHE_SEGMENTS:
+                cache.clear()
+            if len(self.holds) >= CACHE_SEGMENTS:
+                self.holds.clear()
+            for k, found in enumerate(ids):
+                if found is None:
+                    segment = segments[k]
+                    if segment not in cache:
+                        cache[segment] = self.path(segment)
+                    ids[k] = cache[segment]
+        return b"".join(ids)
 
     def decode(self, ids: np.ndarray) -> str:
         if not hasattr(self, "_raw"):
