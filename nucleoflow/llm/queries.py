@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nucleoflow.llm import lines, minhash, mixing, pieces, quality, sketches, suffixes, token_file, warc
+from nucleoflow.llm import lines, minhash, mixing, pieces, privacy, quality, sketches, suffixes, token_file, warc
 from nucleoflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -69,3 +69,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     where = warc.archived(table(spark, folder, "pages"))
     return warc.read_records(warc.read_index(spark, where), where).drop("payload", "url")
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return privacy.report(table(spark, folder, "documents"))
