@@ -125,19 +125,17 @@ def next_pairs(docs: DataFrame) -> DataFrame:
     parts = max(1, -(-count // (RUN_DOCS * max(1, len(borders) - 1))))
     edge = F.lit(borders)
     # the last border that isn't above the id, by halving
-    steps = max(1, len(borders).bit_length())
-    halve = lambda lo, i: F.when(
-        (lo + F.shiftleft(F.lit(1), F.lit(steps) - i) <= len(borders))
-        & (F.get(edge, F.least(lo + F.shiftleft(F.lit(1), F.lit(steps) - i), F.lit(len(borders))) - 1) <= F.col("doc_id")),
-        lo + F.shiftleft(F.lit(1), F.lit(steps) - i),
-    ).otherwise(lo)
-    if len(borders) > 2:
-        slot = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), halve) - 1
-    else:
-        slot = F.lit(0)
+    jumps = F.lit([1 << k for k in reversed(range(len(borders).bit_length()))])
+
+    def halve(lo: Column, jump: Column) -> Column:
+        fits = (lo + jump <= len(borders)) & (F.get(edge, F.least(lo + jump, F.lit(len(borders))) - 1) <= F.col("doc_id"))
+        return F.when(fits, lo + jump).otherwise(lo)
+
+    slot = F.aggregate(jumps, F.lit(0), halve) - 1
     if parts > 1:
         begin, end = F.get(edge, slot), F.get(edge, slot + 1)
-        within = F.floor((F.col("doc_id") - begin).cast("double") * parts / (end - begin).cast("double"))
+        real = lambda c: c.cast("double")
+        within = F.floor((real(F.col("doc_id")) - real(begin)) * parts / (real(end) - real(begin)))
         run = slot.cast("long") * parts + F.least(within.cast("long"), F.lit(parts - 1).cast("long"))
     else:
         run = slot.cast("long")
