@@ -19,16 +19,31 @@ from pyspark.sql.window import Window
 from nucleoflow.functions import vectors as V
 from nucleoflow.session import materialize
 
-MAX_BUCKETS = 512
-# At most this many distinct levels in all: one plain window does it.
-SMALL_LEVELS = 50_000
+# Distinct levels for each bucket, about.
+BUCKET_LEVELS = 50_000
 
 
-def split_points(df: DataFrame, value: str, parts: int | None = None) -> list[float]:
+def numbered(df: DataFrame, *keys: Column, name: str = "index") -> DataFrame:
+    """Rows with their 0-based place in the order of ``keys``, of any type.
+
+    The rows are stored once in range partitions; a place is the sum of the
+    earlier partitions' counts plus the place within the partition.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = materialize(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys))
+    held = held.withColumn("_at", F.monotonically_increasing_id())
+    held = materialize(held.withColumn("_part", F.shiftright("_at", 33)))
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # one row for each partition
+    starts = counts.select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    return held.join(starts, "_part").withColumn(name, place).drop("_part", "_at", "_before")
+
+
+def split_points(df: DataFrame, value: str, parts: int) -> list[float]:
     """Approximate quantiles used only as bucket borders; ranks stay exact."""
-    if parts is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2, min(parts, MAX_BUCKETS))
+    if parts < 2:
+        return []
     probs = [i / parts for i in range(1, parts)]
     found = df.approxQuantile(value, probs, 0.25 / parts)
     return sorted(set(found))
@@ -45,13 +60,11 @@ def _bucketed(df: DataFrame, value: str, splits: Sequence[float]) -> DataFrame:
 
 
 def _prefix(keys: Sequence[str]):
-    """Window over the buckets of a group: at most MAX_BUCKETS rows each."""
+    """Window over the buckets of a group, a row for each BUCKET_LEVELS levels."""
     return Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
 
 
-def level_table(
-    df: DataFrame, value: str, keys: Sequence[str] = (), splits: Sequence[float] | None = None
-) -> DataFrame:
+def level_table(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """One row per distinct (keys, value).
 
     ``ties`` rows share the value, ``below`` rows of the group are smaller and
@@ -63,27 +76,14 @@ def level_table(
         .groupBy(*keys, F.col(value).cast("double").alias(value))
         .agg(F.count(F.lit(1)).alias("ties"))
     )
-    return levels_from_histogram(hist, value, keys, splits)
+    return levels_from_histogram(hist, value, keys)
 
 
-def levels_from_histogram(
-    hist: DataFrame, value: str, keys: Sequence[str] = (), splits: Sequence[float] | None = None
-) -> DataFrame:
+def levels_from_histogram(hist: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """As :func:`level_table`, from rows that already carry ``ties``."""
     keys = list(keys)
     hist = materialize(hist)
-    if hist.count() <= SMALL_LEVELS:
-        ordered = Window.partitionBy(*keys) if keys else Window.partitionBy()
-        running = ordered.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return hist.select(
-            *keys,
-            value,
-            "ties",
-            F.coalesce(F.sum("ties").over(running), F.lit(0)).alias("below"),
-            F.sum("ties").over(ordered).alias("total"),
-            F.lit(0.0).alias("_b"),
-        )
-    hist = _bucketed(hist, value, split_points(hist, value) if splits is None else splits)
+    hist = _bucketed(hist, value, split_points(hist, value, -(-hist.count() // BUCKET_LEVELS)))
     sums = hist.groupBy(*keys, "_b").agg(F.sum("ties").alias("_bt"))
     earlier = _prefix(keys).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -143,7 +143,6 @@ def with_ranks(
     value: str,
     outputs: Mapping[str, Column],
     keys: Sequence[str] = (),
-    splits: Sequence[float] | None = None,
     fill: float | None = None,
     fixed: bool = False,
 ) -> DataFrame:
@@ -156,7 +155,7 @@ def with_ranks(
     keys = list(keys)
     df = df.withColumn(value, F.col(value).cast("double"))
     df = df if fixed else materialize(df)
-    levels = level_table(df, value, keys, splits).select(
+    levels = level_table(df, value, keys).select(
         *keys, value, *[e.alias(n) for n, e in outputs.items()]
     )
     out = df.join(levels, [*keys, value], "left")
@@ -165,11 +164,20 @@ def with_ranks(
     return out
 
 
-def _tie_number(df: DataFrame, tie: str) -> Column:
-    """Numeric tie keys keep their order; text keys fall in a fixed hash order."""
-    if dict(df.dtypes)[tie] in ("string", "boolean"):
-        return F.shiftright(F.xxhash64(tie), 11).cast("double")
-    return F.col(tie).cast("double")
+def _with_tie_number(df: DataFrame, tie: str) -> DataFrame:
+    """``df`` with ``_tie``, a number in the order of ``tie``.
+
+    What a double holds exactly is taken as it is. Other keys (text, dates,
+    long integers beyond 2^53) are numbered by their own order.
+    """
+    kind = dict(df.dtypes)[tie]
+    exact = kind in ("boolean", "tinyint", "smallint", "int", "float", "double")
+    if kind == "bigint":
+        exact = (df.agg(F.max(F.abs(F.col(tie).cast("decimal(20,0)")))).first()[0] or 0) <= 2**53
+    if exact:
+        return df.withColumn("_tie", F.col(tie).cast("double"))
+    order = numbered(df.select(F.col(tie).alias("_key")).distinct(), F.col("_key"), name="_tie")
+    return df.join(order, F.col(tie).eqNullSafe(F.col("_key"))).drop("_key").withColumn("_tie", F.col("_tie").cast("double"))
 
 
 def dense_order(
@@ -189,7 +197,7 @@ def dense_order(
     keys = list(keys)
     start = min_rank_desc() if descending else min_rank()
     ranked = with_ranks(df, value, {"_start": start}, keys, fixed=fixed)
-    tied = ranked.withColumn("_tie", _tie_number(ranked, tie))
+    tied = _with_tie_number(ranked, tie)
     tied = with_ranks(tied, "_tie", {"_intie": min_rank()}, [*keys, value], fixed=True)
     return tied.withColumn(out, (F.col("_start") + F.col("_intie") - 1).cast("bigint")).drop(
         "_start", "_tie", "_intie"
@@ -211,7 +219,7 @@ def top_n(
     levels = levels.withColumn("_room", (limit - before).cast("bigint")).where("_room > 0")
     hit = df.join(levels.select(*keys, value, "ties", "_room"), [*keys, value])
     whole = hit.where("_room >= ties")
-    part = hit.where("_room < ties").withColumn("_tie", _tie_number(hit, tie))
+    part = _with_tie_number(hit.where("_room < ties"), tie)
     part = with_ranks(part, "_tie", {"_pos": min_rank()}, [*keys, value], fixed=True).where("_pos <= _room")
     return whole.drop("ties", "_room").unionByName(part.drop("ties", "_room", "_tie", "_pos"))
 
@@ -244,10 +252,6 @@ def quantiles_from_levels(
 
 # Benjamini-Hochberg ---------------------------------------------------------------
 
-# p-values pile up near zero, so borders are spaced by decade there and evenly above.
-P_VALUE_SPLITS = [10.0**-e for e in range(300, 1, -4)] + [i / 64 for i in range(1, 64)]
-
-
 def benjamini_hochberg(
     df: DataFrame, p: str = "p_value", out: str = "fdr", keys: Sequence[str] = (), fixed: bool = False
 ) -> DataFrame:
@@ -258,7 +262,7 @@ def benjamini_hochberg(
     keys = list(keys)
     df = df.withColumn(p, F.col(p).cast("double"))
     df = df if fixed else materialize(df)
-    levels = level_table(df, p, keys, sorted(P_VALUE_SPLITS)).withColumn(
+    levels = level_table(df, p, keys).withColumn(
         "_raw", F.col(p) * F.col("total") / (F.col("below") + F.col("ties"))
     )
     levels = levels.drop("ties", "below", "total")
