@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nucleoflow.session import ensure_checkpoint_dir, materialize
+from nucleoflow.session import ensure_checkpoint_dir
 
 #: A null id is carried as this value inside the operators and given back as null.
 NULL_ID = -(2**63)
@@ -46,22 +46,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame, *keys: Column, name: str = "index") -> DataFrame:
-    """Rows with their 0-based place in the order of ``keys``.
-
-    The rows are stored once in range partitions; a place is the sum of the
-    earlier partitions' counts plus the place within the partition.
-    """
-    held = materialize(df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys))
-    held = held.withColumn("_at", F.monotonically_increasing_id())
-    held = materialize(held.withColumn("_part", F.shiftright("_at", 33)))
-    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # one row for each partition
-    starts = counts.select("_part", before.alias("_before"))
-    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
-    return held.join(starts, "_part").withColumn(name, place).drop("_part", "_at", "_before")
-
-
 #: Rows of a grouped table that may be broadcast.
 BROADCAST_ROWS = 20_000
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nucleoflow.llm.common import WORD, fresh, numbered, small
+from nucleoflow.functions.ordering import numbered
+from nucleoflow.llm.common import WORD, fresh, small
 from nucleoflow.session import materialize
 
 WEIGHTS = (5, 2, 1)

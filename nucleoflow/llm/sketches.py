@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nucleoflow.llm.common import null_back, numbered, small, texts
+from nucleoflow.functions.ordering import numbered
+from nucleoflow.llm.common import null_back, small, texts
 from nucleoflow.session import materialize
 
 #: A paragraph ends at a line break, or after a sentence whose last letter is one of a to m.
