@@ -58,9 +58,14 @@ def _weights(weights: dict[str, float] | None) -> dict[str, float]:
     return {m: 1.0 for m in METHODS} if weights is None else weights
 
 
-def co_clustering(labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def co_clustering(
+    labels: DataFrame, weights: dict[str, float] | None = None, cells: DataFrame | None = None
+) -> DataFrame:
     """(i, j, w_cluster, w_sample, value) for every i < j sampled or not.
 
+    ``cells`` (column cell_idx) lists all cells; without it those in ``labels``
+    are all there are.
+
     Cells are tiles of packed label rows; a pair of tiles is counted by NumPy in
     one task. Noise counts on neither side. Pairs never sampled together get 0.
     The result has one row per pair of cells by definition.
@@ -70,7 +75,7 @@ def co_clustering(labels: DataFrame, weights: dict[str, float] | None = None) ->
         F.collect_list(F.struct(F.concat_ws("|", "iter", "method").alias("run"), "label")).alias("seen")
     )
     # Every cell has to appear, even if it is noise everywhere.
-    everyone = labels.select(F.col("cell_idx").alias("id")).distinct()
+    everyone = (labels if cells is None else cells).select(F.col("cell_idx").alias("id")).distinct()
     coded = everyone.join(coded, "id", "left")
     runs = [
         (f"{r['iter']}|{r['method']}", float(weights.get(r["method"], 0.0)))
@@ -309,6 +314,9 @@ def method_weights(labels: DataFrame, methods: list[str] = METHODS) -> DataFrame
     scored = joint.join(left, ["x", "y"]).join(right, ["x", "y"]).select("x", "y", ari.alias("ari"))
     both = scored.select(F.explode(F.array("x", "y")).alias("m"), "ari")
     raw = both.groupBy("m").agg(F.greatest(F.sum("ari") / (len(methods) - 1), F.lit(0.0)).alias("raw"))
+    raw = materialize(raw)
+    if not (raw.agg(F.sum("raw")).first()[0] or 0) > 0:
+        raise ValueError("no method agrees with another: all weights are 0")
     whole = raw.agg(F.sum("raw")).scalar()
     name = F.element_at(F.array(*[F.lit(m) for m in methods]), F.col("m") + 1)
     return raw.select(name.alias("method"), (F.col("raw") / F.nullif(whole, F.lit(0.0))).alias("weight"))

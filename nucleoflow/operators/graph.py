@@ -84,7 +84,7 @@ def pagerank(
     """Weighted PageRank; rank of nodes without out-edges is spread evenly.
 
     Runs ``iterations`` rounds, or stops once the summed change is below
-    ``tolerance`` per node.
+    ``tolerance`` per node; with a tolerance, not to reach it raises ``RuntimeError``.
     """
     share = edges.groupBy("src").agg(F.sum("weight").alias("w"))
     links = materialize(
@@ -109,6 +109,9 @@ def pagerank(
                 ranks = nxt
                 break
         ranks = nxt.drop("old")
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"PageRank hasn't settled in {iterations} rounds")
     return ranks.select("node", F.col("r").alias("pagerank"))
 
 
@@ -140,8 +143,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _require_weights(edges: DataFrame, bad: str, what: str) -> None:
+    found = edges.where(bad).limit(1).collect()
+    if found:
+        raise ValueError(f"{what} weight on the edge {found[0].src} -> {found[0].dst}")
+
+
 def shortest_paths(edges: DataFrame) -> DataFrame:
-    """(s, v, dist) for every reachable pair, by relaxing changed entries only."""
+    """(s, v, dist) for every reachable pair, by relaxing changed entries only.
+
+    A negative weight raises ``ValueError``: distances could fall for ever.
+    """
+    _require_weights(edges, "weight < 0", "negative")
     e = materialize(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight"))
     start = nodes(edges)
     dist = materialize(start.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("dist")))
@@ -166,8 +179,11 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame) -> DataFrame:
     """Normalised weighted betweenness from path counts and dependencies.
 
-    Path counts grow and dependencies shrink by one tight edge per round.
+    Path counts grow and dependencies shrink by one tight edge per round. A
+    weight of 0 or less raises ``ValueError``: tight edges could form a cycle,
+    along which path counts never end.
     """
+    _require_weights(edges, "weight <= 0", "non-positive")
     dist = materialize(shortest_paths(edges))
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight")
     du = dist.select("s", F.col("v").alias("u"), F.col("dist").alias("du"))
@@ -208,15 +224,15 @@ def betweenness(edges: DataFrame) -> DataFrame:
 
 
 def closeness(edges: DataFrame) -> DataFrame:
-    """Inward hop closeness, scaled by the share of nodes that reach the node."""
-    hops = shortest_paths(edges.withColumn("weight", F.lit(1.0)))
+    """Inward weighted closeness, scaled by the share of nodes that reach the node."""
+    paths = shortest_paths(edges)
     n = nodes(edges).agg(F.count(F.lit(1))).scalar()
-    per = hops.groupBy(F.col("v").alias("node")).agg(F.sum("dist").alias("d"), (F.count(F.lit(1)) - 1).alias("r"))
+    per = paths.groupBy(F.col("v").alias("node")).agg(F.sum("dist").alias("d"), (F.count(F.lit(1)) - 1).alias("r"))
     value = F.try_divide(F.col("r"), F.col("d")) * F.col("r") / F.nullif(n - 1, F.lit(0))
     return per.select("node", F.coalesce(value, F.lit(0.0)).alias("closeness"))
 
 
-def eigenvector(edges: DataFrame, iterations: int = 60, tolerance: float = 1e-6) -> DataFrame:
+def eigenvector(edges: DataFrame, iterations: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """Leading eigenvector of in-links by shifted power iteration.
 
     Falls back to degree / (n - 1) when it has not settled.
@@ -269,3 +285,16 @@ def node_importance(measures: DataFrame) -> DataFrame:
 
     a, b = above("pagerank", "pl", "ps"), above("betweenness", "bl", "bs")
     return measures.withColumn("importance", F.sqrt(a * a + b * b))
+
+
+def filter_network(edges: DataFrame, factors: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
+    """Edges whose source is among ``factors`` and target among ``genes`` (one column ``name`` each); None keeps all."""
+    for end, names in (("src", factors), ("dst", genes)):
+        if names is not None:
+            edges = edges.join(names.select(F.col("name").alias(end)).distinct(), end, "left_semi")
+    return edges
+
+
+def drop_isolates(everyone: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (column ``node``) with at least one edge to another node."""
+    return everyone.join(nodes(edges.where("src <> dst")), "node", "left_semi")

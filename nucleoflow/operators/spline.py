@@ -13,8 +13,6 @@ from nucleoflow.functions import ordering as O
 from nucleoflow.operators import neighbors, trajectory
 from nucleoflow.session import materialize
 
-MAX_SEGMENTS = 256
-
 
 def _basis(u: Column) -> list[Column]:
     """The four uniform cubic B-splines that are non-zero at offset u in [0, 1]."""
@@ -51,14 +49,14 @@ class Curve:
 def fit_curve(points: DataFrame, time: str, dims: int, dof: float = 250, spar: float = 1.0) -> Curve:
     """Smoothest spline per dimension whose residual sum stays within n / dof * spar.
 
-    Spark sums the normal equations per knot interval (at most MAX_SEGMENTS rows);
+    Spark sums the normal equations per knot interval (at most ``dof`` rows);
     only those sums reach the driver. The penalty is the fourth difference, so a
     loose bound gives a cubic polynomial.
     """
     head = points.agg(
         F.min(time).alias("lo"), F.max(time).alias("hi"), F.count(F.lit(1)).alias("n")
     ).first()
-    segments = int(max(1, min(dof, MAX_SEGMENTS, head.n // 2)))
+    segments = int(max(1, min(dof, head.n // 2)))
     width = (head.hi - head.lo) / segments or 1.0
     pos = (F.col(time) - head.lo) / width
     seg = F.greatest(F.lit(0), F.least(F.lit(segments - 1), F.floor(pos))).cast("int")

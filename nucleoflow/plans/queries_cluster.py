@@ -37,7 +37,7 @@ def _pairs_sql(name: str, w: str) -> None:
     cte(f"{name}_n", ["il"], f"""SELECT a.cell_idx AS i, b.cell_idx AS j, sum(CASE WHEN a.label = b.label THEN {w} ELSE 0 END) AS c, sum({w}) AS s
         FROM il a JOIN il b ON a.iter = b.iter AND a.method = b.method AND a.cell_idx < b.cell_idx WHERE a.label <> -1 AND b.label <> -1 GROUP BY 1, 2""")
     cte(name, ["il", f"{name}_n"], f"""SELECT x.cell_idx AS i, y.cell_idx AS j, coalesce(c, 0)::DOUBLE AS c, coalesce(s, 0)::DOUBLE AS s, coalesce(c / nullif(s, 0), 0)::DOUBLE AS v
-        FROM (SELECT DISTINCT cell_idx FROM il) x JOIN (SELECT DISTINCT cell_idx FROM il) y ON x.cell_idx < y.cell_idx
+        FROM (SELECT DISTINCT vec_id AS cell_idx FROM embeddings) x JOIN (SELECT DISTINCT vec_id AS cell_idx FROM embeddings) y ON x.cell_idx < y.cell_idx
         LEFT JOIN {name}_n n ON n.i = x.cell_idx AND n.j = y.cell_idx""")
 
 
@@ -54,19 +54,19 @@ def sampled_cells(spark, d):
 
 @query("consensus_pairs", sql(["cons_w"], f"SELECT {_PAIR_COLS} FROM cons_w"))
 def consensus_pairs(spark, d):
-    out = consensus.co_clustering(consensus.complete_iterations(P.iter_labels(spark, d)), _W)
+    out = consensus.co_clustering(consensus.complete_iterations(P.iter_labels(spark, d)), _W, P.vectors(spark, d))
     return rounded(out, "w_cluster", "w_sample", "value")
 
 
 @query("consensus_unweighted", sql(["cons_u"], f"SELECT {_PAIR_COLS} FROM cons_u"))
 def consensus_unweighted(spark, d):
-    return rounded(consensus.co_clustering(P.iter_labels(spark, d)), "w_cluster", "w_sample", "value")
+    return rounded(consensus.co_clustering(P.iter_labels(spark, d), cells=P.vectors(spark, d)), "w_cluster", "w_sample", "value")
 
 
 @query("consensus_auc", sql(["cons_u"], f"""SELECT {R('sum((nv - v) * ((rn + rn + 1) / 2.0 / n))')} AS auc, max(n) AS n_pairs FROM
     (SELECT v, lead(v) OVER (ORDER BY v) AS nv, row_number() OVER (ORDER BY v) AS rn, count(*) OVER () AS n FROM cons_u)"""))
 def consensus_auc(spark, d):
-    return rounded(consensus.consensus_auc(materialize(consensus.co_clustering(P.iter_labels(spark, d)))), "auc")
+    return rounded(consensus.consensus_auc(materialize(consensus.co_clustering(P.iter_labels(spark, d), cells=P.vectors(spark, d)))), "auc")
 
 
 cte("gsc", [], """SELECT s_nationkey AS iter, l_partkey AS gene, ln(1 + avg(l_quantity)) / 4 AS score FROM lineitem
@@ -283,7 +283,7 @@ def ward_clusters(spark, d):
 
 @query("kmeans_labels")
 def kmeans_labels(spark, d):
-    return embed.kmeans(P.vectors(spark, d), "cell_idx", 10, 3)
+    return embed.kmeans(P.vectors(spark, d), "cell_idx", 10)
 
 
 @query("community_labels")
@@ -303,7 +303,8 @@ def resolution_search(spark, d):
 
 @query("consensus_clusters")
 def consensus_clusters(spark, d):
-    return ensemble.final_labels(consensus.complete_iterations(P.iter_labels(spark, d)), 5)[0]
+    labels = consensus.complete_iterations(P.iter_labels(spark, d))
+    return ensemble.final_labels(labels, 5, P.vectors(spark, d), _W)[0]
 
 
 def _genes(spark, d):

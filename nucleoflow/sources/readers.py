@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,6 +90,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Names under which the id column of a metadata file may stand.
 ID_COLUMNS = ["cell_id", "cell_name", "barcode", "Unnamed: 0"]
 
 
@@ -102,20 +103,25 @@ def read_cell_metadata(spark: SparkSession, path: str, label: str = "celltype")
     df = spark.read.option("header", True).csv(path)
     require_columns(df, label, what=path)
     key = next((c for c in ID_COLUMNS if c in df.columns), df.columns[0])
-    rows = df.select(F.col(f"`{key}`").alias("barcode"), label, F.monotonically_increasing_id().alias("_o"))
+    rows = df.select(F.col(f"`{key}`").alias("barcode"), label, file_order().alias("_o"))
     from nucleoflow.operators.annotate import clean_labels
 
     return clean_labels(rows, "barcode", label, "_o")
 
 
-def read_fragments(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
+def file_order() -> Column:
+    """Place of a row in its files: name, then offset of the split, then place in the split."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    return F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), inside.alias("row"))
+
+
+def read_fragments(spark: SparkSession, path: str) -> DataFrame:
     """Fragment rows with a barcode; ``#`` lines are skipped.
 
     A gzip file is one split, so compress large inputs in blocks or unpack them.
     """
     df = spark.read.schema(schemas.FRAGMENTS).option("sep", "\t").option("comment", "#").csv(path)
-    df = df.where(F.col("barcode").isNotNull())
-    return df if max_lines is None else df.limit(max_lines)
+    return df.where(F.col("barcode").isNotNull())
 
 
 def read_gene_annotation(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +129,7 @@ def read_gene_annotation(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     require_columns(df, "symbol", "chr", "start", "end", "strand", what=path)
     rest = [c for c in df.columns if c != "symbol"]
-    ranked = df.withColumn("_o", F.monotonically_increasing_id())
+    ranked = df.withColumn("_o", file_order())
     first = ranked.groupBy("symbol").agg(F.min_by(F.struct(*rest), "_o").alias("r"))
     return first.select("symbol", "r.*")
 

@@ -34,16 +34,21 @@ def write_consensus(pairs: DataFrame, path: str) -> None:
     pairs.where("i < j").repartitionByRange("i", "j").write.mode("overwrite").parquet(path)
 
 
+def path_exists(spark, path: str) -> bool:
+    """Whether a path exists in whatever file system its scheme names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def append_iteration(labels: DataFrame, path: str) -> None:
     labels.write.mode("append").partitionBy("iter").parquet(path)
 
 
 def unfinished(iterations: DataFrame, path: str) -> DataFrame:
     """Iterations without stored labels."""
-    try:
-        done = iterations.sparkSession.read.parquet(path).select("iter").distinct()
-    except Exception:
+    if not path_exists(iterations.sparkSession, path):
         return iterations
+    done = iterations.sparkSession.read.parquet(path).select("iter").distinct()
     return iterations.join(done, "iter", "left_anti")
 
 

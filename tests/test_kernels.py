@@ -93,9 +93,7 @@ def brute_ward(x, k):
     return out
 
 
-@pytest.mark.parametrize("bound", [2000, 6])
-def test_ward(spark, monkeypatch, bound):
-    monkeypatch.setattr(hierarchy, "LOCAL_CLUSTERS", bound)
+def test_ward(spark):
     x = np.random.default_rng(1).standard_normal((24, 2))
     assert same_partition(labels_of(hierarchy.ward_clusters(points(spark, x), "id", 4)), brute_ward(x, 4))
 
@@ -246,3 +244,52 @@ def test_curve_follows_points(spark):
     df = spark.createDataFrame([(float(v), [float(np.sin(v)), float(v)]) for v in t], "time double, vec array<double>")
     curve = fit_curve(df, "time", 2, dof=50, spar=1e-6)
     assert np.abs(curve(t) - np.column_stack([np.sin(t), t])).max() < 0.01
+
+
+def test_graph_guards_and_filters(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 5.0), ("d", "d", 1.0)], "src string, dst string, weight double")
+    near = {r.node: r.closeness for r in graph.closeness(e).collect()}
+    assert np.isclose(near["c"], 2 / 5 * 2 / 3) and near["a"] == 0
+    bad = e.union(spark.createDataFrame([("c", "a", -1.0)], e.schema))
+    with pytest.raises(ValueError, match="negative"):
+        graph.shortest_paths(bad)
+    zero = e.union(spark.createDataFrame([("c", "b", 0.0)], e.schema))
+    with pytest.raises(ValueError, match="non-positive"):
+        graph.betweenness(zero)
+    with pytest.raises(RuntimeError):
+        graph.pagerank(e, iterations=1, tolerance=1e-12)
+    names = spark.createDataFrame([("a",), ("a",)], "name string")
+    assert graph.filter_network(e, names).count() == 2 and graph.filter_network(e, names, names).count() == 0
+    assert {r.node for r in graph.drop_isolates(graph.nodes(e), e).collect()} == {"a", "b", "c"}
+
+
+def test_weighted_consensus_over_all_cells(spark):
+    from nucleoflow.operators import ensemble
+
+    rows = [(0, m, c, g) for m in ("Kmeans", "Seurat") for c, g in enumerate([0, 0, 1, 1])]
+    rows += [(0, "ACM_WEP", c, g) for c, g in enumerate([0, 1, 0, 1])]
+    labels = spark.createDataFrame(rows, "iter int, method string, cell_idx bigint, label int")
+    cells = spark.range(5).withColumnRenamed("id", "cell_idx")
+    weights = {"Kmeans": 0.5, "Seurat": 0.5, "ACM_WEP": 0.0}
+    out, _ = ensemble.final_labels(labels, 3, cells, weights)
+    got = {r.cell_idx: r.label for r in out.collect()}
+    assert len(got) == 5 and same_partition([got[i] for i in range(5)], [0, 0, 1, 1, 2])
+    out, _ = ensemble.final_labels(labels, 3, cells, {"ACM_WEP": 1.0})
+    got = {r.cell_idx: r.label for r in out.collect()}
+    assert same_partition([got[i] for i in range(5)], [0, 1, 0, 1, 2])
+    with pytest.raises(ValueError):
+        ensemble.final_labels(labels, 3, cells, {"Kmeans": 0.0})
+
+
+def test_resumed_ensemble_runs_nothing_twice(spark, tmp_path, monkeypatch):
+    from nucleoflow.operators import ensemble
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((12, 2)) + s for s in (0, 12)])
+    calls = []
+    base = ensemble.base_labels
+    monkeypatch.setattr(ensemble, "base_labels", lambda *a: calls.append(1) or base(*a))
+    args = (points(spark, x), "id", 2, 1, str(tmp_path))
+    first = sorted(map(tuple, ensemble.run(*args, resolution=0.5, n_neighbors=5).collect()))
+    again = sorted(map(tuple, ensemble.run(*args, resolution=0.5, n_neighbors=5).collect()))
+    assert first == again and len(calls) == 1
