@@ -9,7 +9,8 @@ A common prefix of at least ``LEAST`` bytes is found in three steps.
    the same anchor go to one bucket. Equal contexts are collapsed first, so a
    passage that many documents repeat costs one context a batch. The anchors
    with the most texts send their runs one by one, dealt by the run's own hash.
-3. In a bucket the contexts are suffix-sorted and transformed. Breadth-first
+3. In a bucket contexts are cut to what another context of the anchor has too,
+   equal ones are collapsed, and the rest is suffix-sorted and transformed. Breadth-first
    backward extension derives the boundaries between suffixes whose common
    prefix has 0, 1, 2, ... bytes and stops at LEAST: suffixes left between two
    boundaries share LEAST bytes or more.
@@ -36,6 +37,7 @@ SPAN = 2 * LEAST - K
 #: Bytes of text for each bucket of anchors, and buckets of contexts for each of those.
 BUCKET_BYTES = 8 << 20
 FINER = 4
+LEAST_BUCKETS = 64
 #: Anchors that a task gathers before it sends them.
 GATHER = 1 << 21
 #: Anchors in more texts than this are hot; at most HOT_LIST of them, those in most texts.
@@ -100,7 +102,7 @@ def _per_doc(doc: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes
     order = np.argsort(doc, kind="stable")
     doc, values = doc[order], values[order]
     at = _firsts(doc)
-    ends = np.append(at[1:], doc.size)
+    ends = np.append(at, doc.size)[1:]
     return doc[at].tolist(), [values[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
 
 
@@ -202,7 +204,7 @@ def contexts(buckets: int, hot: np.ndarray):
     """Batches of (doc_id, text, keys) to rows for the context buckets.
 
     A head is (key, doc, start, length, anchor) in 64-bit integers; its bytes are
-    padded to SPAN. Kind 1 rows are removals that the batch itself could settle:
+    laid out around the anchor, which begins at SIDE, with zeros outside. Kind 1 rows are removals that the batch itself could settle:
     a context that a smaller document of the batch has as well.
     """
     weights = mix64(np.arange(1, SPAN // 8 + 1, dtype=np.uint64)) | np.uint64(1)
@@ -233,10 +235,10 @@ def contexts(buckets: int, hot: np.ndarray):
             rows.append((int(to[a]), 0, head[a:b].tobytes(), raw[a:b].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
 
-    def cut(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        where = start[:, None] + np.arange(SPAN)
-        raw = data[np.minimum(where, data.size - 1)]
-        raw[np.arange(SPAN) >= length[:, None]] = 0
+    def cut(data: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        where = place[:, None] + np.arange(-SIDE, SPAN - SIDE)
+        raw = data[np.clip(where, 0, data.size - 1)]
+        raw[(where < begin[:, None]) | (where >= end[:, None])] = 0
         return raw
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +262,13 @@ def contexts(buckets: int, hot: np.ndarray):
                     starts = np.repeat(begin[is_hot], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
                     starts, pick = np.unique(starts, return_index=True)
                     owner = np.repeat(text[is_hot], runs)[pick]
-                    raw = cut(data, starts, np.full(starts.size, LEAST))
+                    raw = cut(data, starts, starts, starts + LEAST)
                     own_key = (folded(raw) >> np.uint64(1)).view(np.int64)
                     heads.append(np.stack([own_key, ids[first + owner], starts - offsets[owner], np.full(starts.size, LEAST), np.zeros(starts.size, np.int64)], axis=1))
                     raws.append(raw)
                     place, key, text, begin, end = (x[~is_hot] for x in (place, key, text, begin, end))
                 heads.append(np.stack([key, ids[first + text], begin - offsets[text], end - begin, place - begin], axis=1))
-                raws.append(cut(data, begin, end - begin))
+                raws.append(cut(data, place, begin, end))
                 if sum(map(len, raws)) >= GATHER // 8:
                     yield from send(np.concatenate(heads), np.concatenate(raws))
                     heads, raws = [], []
@@ -352,7 +354,31 @@ def settle(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "ranges": pa.array(ranges, pa.binary())})
 
 
+def _reach(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each row of ``part`` with another row of its key; -1 without one."""
+    words = np.zeros((len(part), 32), np.uint8)
+    words[:, :SIDE] = part
+    words = words.view(">u8").astype(np.uint64)
+    order = np.lexsort((*words.T[::-1], key))
+    equal = part[order[1:]] == part[order[:-1]]
+    common = np.where(equal.all(axis=1), SIDE, equal.argmin(axis=1))
+    common[key[order[1:]] != key[order[:-1]]] = -1
+    out = np.empty(len(part), np.int64)
+    out[order] = np.maximum(np.append(common, -1), np.append(-1, common))
+    return out
+
+
 def _settled(head: np.ndarray, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    # what no other context of the anchor has, on either side, is in no shared run
+    left = np.minimum(_reach(head[:, 0], raw[:, :SIDE][:, ::-1]), head[:, 4])
+    right = np.minimum(_reach(head[:, 0], raw[:, SIDE + K :]), head[:, 3] - head[:, 4] - K)
+    use = np.flatnonzero((left >= 0) & (left + K + right >= LEAST))
+    head, raw, left, right = head[use], raw[use].copy(), left[use], right[use]
+    if not use.size:
+        return
+    head = np.stack([head[:, 0], head[:, 1], head[:, 2] + head[:, 4] - left, left + K + right, left], axis=1)
+    column = np.arange(SPAN)
+    raw[(column < SIDE - left[:, None]) | (column >= SIDE + K + right[:, None])] = 0
     whole = np.concatenate([np.ascontiguousarray(head[:, [0, 3, 4]]).view(np.uint8).reshape(-1, 24), raw], axis=1)
     eights = whole.view(np.uint64)
     code = mix64((mix64(eights) * (mix64(np.arange(1, eights.shape[1] + 1, dtype=np.uint64)) | np.uint64(1))).sum(axis=1))
@@ -384,7 +410,8 @@ def _settled(head: np.ndarray, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np
     which = np.repeat(np.arange(one.size), length + 1)
     left[:] = length[which] - place
     inside = left > 0
-    text[inside] = raw[one[which[inside]], place[inside]].astype(np.int16) + 1
+    rows = one[which[inside]]
+    text[inside] = raw[rows, SIDE - head[rows, 4] + place[inside]].astype(np.int16) + 1
     suffixes, boundary = shared_runs(text, left)
     group = np.cumsum(boundary) - 1
     doc = least_doc[several][which[suffixes]]
@@ -424,7 +451,7 @@ def removals(docs: DataFrame, hot_above: int = HOT) -> DataFrame:
     first = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = materialize(named.join(first, "name").where("doc_id > first").select("doc_id").distinct())
     size = named.agg(F.sum("size")).first()[0] or 0
-    buckets = min(1 << 22, size // BUCKET_BYTES + 1)
+    buckets = min(1 << 22, max(LEAST_BUCKETS, size // BUCKET_BYTES))
     own = rows.join(copies, "doc_id", "left_anti")
     asked = own.mapInArrow(ask(buckets), "bucket int, kind byte, doc binary, key binary, n binary")
     shared = materialize(asked.groupBy("bucket").applyInArrow(lambda t: answer(t, hot_above), "doc_id long, keys binary, n long"))
