@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nucleoflow.functions.ordering import numbered
+from nucleoflow.functions.vectors import let
 from nucleoflow.llm.common import null_back, small, texts
 from nucleoflow.session import materialize
 
@@ -42,12 +43,14 @@ def fingerprint(digests: Column) -> Column:
     fold = lambda ks: F.aggregate(ks, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(k))
     width = F.lit(BASE).cast("long")
 
-    def one(place: Column) -> Column:
-        at = F.floor(place / BASE).cast("long")
-        mine = F.filter(digests, lambda k: cell(k, at, width) == place)
+    def shown(mine: Column) -> Column:
         sums = F.concat(F.lpad(F.hex(fold(mine)), 16, "0"), F.lpad(F.hex(fold(F.transform(mine, check))), 16, "0"))
         return F.concat(F.lpad(F.hex(F.size(mine)), 4, "0"), sums)
 
+    def one(place: Column) -> Column:
+        at = F.floor(place / BASE).cast("long")
+        return let(F.filter(digests, lambda k: cell(k, at, width) == place), shown)
+
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * BASE - 1)), one), "")
 
 
@@ -87,31 +90,17 @@ def _summed(rows: DataFrame, group: list[str]) -> DataFrame:
     return sums.where("cell < 0 or n <> 0 or key <> 0 or check <> 0")
 
 
-def entries(plus: Column, minus: Column, which: int, width: Column) -> Column:
-    """Cell entries of the difference of two sets of digests."""
-    signed = lambda ks, s: F.flatten(
-        F.transform(
-            ks,
-            lambda k: F.array(
-                *[
-                    F.struct(
-                        F.lit(which).alias("which"),
-                        width.alias("width"),
-                        cell(k, t, width).alias("cell"),
-                        F.lit(s).cast("long").alias("n"),
-                        k.alias("key"),
-                        check(k).alias("check"),
-                    )
-                    for t in range(3)
-                ]
-            ),
-        )
-    )
-    return F.concat(signed(plus, 1), signed(minus, -1))
+def in_three_tables(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cell entries (width, cell, n, key, check) of rows with a digest ``key``, a sign ``n`` and a ``width``; width null hands the row on."""
+    tables = F.when(F.col("width").isNull(), F.lit([0])).otherwise(F.lit([0, 1, 2]))
+    rows = rows.select(*keys, "width", "n", "key", F.explode(tables).alias("t")).withColumn("t", F.col("t").cast("long"))
+    at = F.when(F.col("width").isNull(), F.lit(-2).cast("long")).otherwise(cell(F.col("key"), F.col("t"), F.col("width")))
+    checked = F.when(F.col("width").isNull(), F.lit(0).cast("long")).otherwise(check(F.col("key")))
+    return rows.select(*keys, F.coalesce("width", F.lit(0).cast("long")).alias("width"), at.alias("cell"), "n", "key", checked.alias("check"))
 
 
 def next_pairs(docs: DataFrame) -> DataFrame:
-    """(run, place, doc_id, text, a, next_text, b): each row with the row after it; after the last comes the first.
+    """(run, place, doc_id, text, next_id, next_text): each row with the row after it; after the last comes the first.
 
     Runs are ranges of doc_id, cut at sampled quantiles and evenly between
     them. Each run also gets the first document of the next one, so a window
@@ -148,7 +137,7 @@ def next_pairs(docs: DataFrame) -> DataFrame:
     guest = small(materialize(before.join(firsts.select(F.col("index").alias("before"), F.col("run").alias("to")), "before").select("first", "to")))
     own = rows.withColumn("guest", F.lit(False))
     guests = own.join(guest, F.col("doc_id") == F.col("first")).select("doc_id", "text", F.col("to").alias("run"), F.lit(True).alias("guest"))
-    both = own.union(guests.select(*own.columns)).withColumn("a", paragraphs(F.col("text")))
+    both = own.union(guests.select(*own.columns))
     order = Window.partitionBy("run").orderBy("guest", "doc_id", "text")
     return both.select(
         "run",
@@ -156,10 +145,9 @@ def next_pairs(docs: DataFrame) -> DataFrame:
         "guest",
         "doc_id",
         "text",
-        "a",
+        F.lead("doc_id").over(order).alias("next_id"),
         F.lead("text").over(order).alias("next_text"),
-        F.lead("a").over(order).alias("b"),
-    ).where("not guest")
+    ).where("not guest").drop("guest")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -172,21 +160,19 @@ def compared(docs: DataFrame) -> DataFrame:
     as empty. Rows that share a doc_id follow each other by text. A single row
     is its own successor. An empty table gives no rows.
     """
-    rows = next_pairs(docs)
-    half = F.expr("length(text) div 2").cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("run", "place", "doc_id", F.length("text").alias("n_chars"), edited.alias("edited"), "a", "b")
-    rows = rows.select("run", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"), "a", paragraphs(F.col("edited")).alias("e"), "b")
-    sized = rows.select(
-        "*", F.size("a").alias("na"), F.size("e").alias("ne"), F.size("b").alias("nb"), fingerprint(F.col("a")).alias("fa"), fingerprint(F.col("e")).alias("fe")
-    )
-    done = materialize(_likeness(sized, 1))
+    done = materialize(_likeness(next_pairs(docs), 1))
     factor = 1
     failed = done.where("open > 0")
     while not failed.isEmpty():
-        factor *= 2
-        again = failed.select("run", "place").distinct()
-        retried = materialize(_likeness(sized.join(again, ["run", "place"], "left_semi"), factor))
+        # few texts are needed again: those of the failed pairs, found by id and hash
+        factor *= 4
+        ends = [failed.select(F.col(i).alias("doc_id"), F.col(h).alias("name")) for i, h in (("doc_id", "name"), ("next_id", "next_name"))]
+        wanted = small(materialize(ends[0].union(ends[1]).distinct()))
+        held = texts(docs).withColumn("name", F.xxhash64("text")).join(wanted, ["doc_id", "name"]).dropDuplicates(["doc_id", "name"])
+        held = materialize(held)
+        after = held.select(F.col("doc_id").alias("next_id"), F.col("name").alias("next_name"), F.col("text").alias("next_text"))
+        pairs = failed.select("run", "place", "doc_id", "name", "next_id", "next_name").join(held, ["doc_id", "name"]).join(after, ["next_id", "next_name"])
+        retried = _likeness(pairs.repartition("run", "place"), factor)
         done = materialize(done.where("open = 0").union(retried))
         failed = done.where("open > 0")
     near = lambda n, m, d: F.when(F.col(n) + F.col(m) == 0, 1.0).otherwise(
@@ -203,26 +189,59 @@ def compared(docs: DataFrame) -> DataFrame:
     )
 
 
-def _likeness(sized: DataFrame, factor: int) -> DataFrame:
-    """Recovered differences to the edited text (d2) and the next one (d3), and cells left open."""
-    info = F.concat_ws("|", "doc_id", "n_chars", "sha", "na", "ne", "nb", "fa", "fe")
-    width2 = (F.ceil(F.greatest("na", "ne") * 0.5 * factor) + 3).cast("long")
-    width3 = (F.ceil((F.col("na") + F.col("nb")) * 0.5 * factor) + 3).cast("long")
-    zero = F.lit(0).cast("long")
-    keep = F.struct(F.lit(0).alias("which"), zero.alias("width"), F.lit(-2).cast("long").alias("cell"), zero.alias("n"), zero.alias("key"), zero.alias("check"))
-    all_entries = F.concat(F.array(keep), entries(F.col("a"), F.col("e"), 2, width2), entries(F.col("a"), F.col("b"), 3, width3))
-    cells = sized.select("run", "place", info.alias("info"), F.explode(all_entries).alias("c"))
-    cells = cells.select("run", "place", F.when(F.col("c.cell") == -2, F.col("info")).alias("info"), "c.*")
-    keys = ("run", "place", "which", "info")
-    left = decoded(_summed(cells, [*keys, "width", "cell"]), *keys)
+def _likeness(pairs: DataFrame, factor: int) -> DataFrame:
+    """Recovered differences to the edited text (d2) and the next one (d3), and cells left open.
+
+    ``pairs`` come partitioned by run, so that nothing more is shuffled.
+    """
+    half = F.expr("length(text) div 2").cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    rows = pairs.select("run", "place", "doc_id", "next_id", "text", "next_text", edited.alias("edited"))
+    sized = rows.select(
+        "run",
+        "place",
+        "doc_id",
+        F.xxhash64("text").alias("name"),
+        "next_id",
+        F.xxhash64("next_text").alias("next_name"),
+        F.length("text").alias("n_chars"),
+        F.sha2("edited", 256).alias("sha"),
+        paragraphs(F.col("text")).alias("a"),
+        paragraphs(F.col("edited")).alias("e"),
+        paragraphs(F.col("next_text")).alias("b"),
+    )
+    longs = ("doc_id", "name", "next_id", "next_name", "n_chars", "na", "ne", "nb")
+    strings = ("sha", "fa", "fe")
+    sized = sized.select("*", F.size("a").alias("na"), F.size("e").alias("ne"), F.size("b").alias("nb"))
+    sized = sized.select("*", fingerprint(F.col("a")).alias("fa"), fingerprint(F.col("e")).alias("fe"))
+    info = F.concat_ws("|", *longs, *strings)
+    width2 = (F.ceil(F.greatest("na", "ne") * 0.5 * factor) + 6).cast("long")
+    width3 = (F.ceil((F.col("na") + F.col("nb")) * 0.5 * factor) + 6).cast("long")
+    # one row for the document, then a and e to be subtracted, then a and b
+    digests = F.concat(F.array(F.lit(0).cast("long")), "a", "e", "a", "b")
+    flat = sized.select("run", "place", info.alias("info"), "na", "ne", width2.alias("w2"), width3.alias("w3"), F.posexplode(digests).alias("pos", "key"))
+    second = F.col("na") + F.col("ne")
+    plus = (F.col("pos") <= F.col("na")) | ((F.col("pos") > second) & (F.col("pos") <= second + F.col("na")))
+    first = F.col("pos") == 0
+    flat = flat.select(
+        "run",
+        "place",
+        F.when(first, 0).when(F.col("pos") <= second, 2).otherwise(3).alias("which"),
+        F.when(first, F.col("info")).alias("info"),
+        F.when(first, None).when(F.col("pos") <= second, F.col("w2")).otherwise(F.col("w3")).alias("width"),
+        F.when(first, 0).when(plus, 1).otherwise(-1).cast("long").alias("n"),
+        "key",
+    )
+    keys = ["run", "place", "which", "info"]
+    left = decoded(_summed(in_three_tables(flat, keys), [*keys, "width", "cell"]), *keys)
     of = lambda w: F.coalesce(F.sum(F.when((F.col("which") == w) & (F.col("cell") == -1), F.col("n"))), F.lit(0))
     out = left.groupBy("run", "place").agg(
         F.max("info").alias("info"), of(2).alias("d2"), of(3).alias("d3"), F.count(F.when(F.col("cell") >= 0, 1)).alias("open")
     )
     part = F.split("info", r"\|")
-    longs = {n: part.getItem(i).cast("long").alias(n) for i, n in ((0, "doc_id"), (1, "n_chars"), (3, "na"), (4, "ne"), (5, "nb"))}
-    texts_ = {n: part.getItem(i).alias(n) for i, n in ((2, "sha"), (6, "fa"), (7, "fe"))}
-    return out.select("run", "place", *longs.values(), *texts_.values(), "d2", "d3", "open")
+    columns = [part.getItem(i).cast("long").alias(n) for i, n in enumerate(longs)]
+    columns += [part.getItem(len(longs) + i).alias(n) for i, n in enumerate(strings)]
+    return out.select("run", "place", *columns, "d2", "d3", "open")
 
 
 def differing(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -236,8 +255,10 @@ def differing(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     factor, parts = 1, []
     while not sets.isEmpty():
         width = (F.ceil((F.size("a") + F.size("b")) * 0.2 * factor) + 2).cast("long")
-        cells = sets.select("id", F.explode(entries(F.col("a"), F.col("b"), 2, width)).alias("c")).select("id", "c.*")
-        left = materialize(decoded(_summed(cells, ["id", "which", "width", "cell"]), "id", "which", rounds=rounds, digests=True))
+        flat = sets.select("id", width.alias("width"), F.size("a").alias("na"), F.posexplode(F.concat("a", "b")).alias("pos", "key"))
+        signed = flat.withColumn("n", F.when(F.col("pos") < F.col("na"), 1).otherwise(-1).cast("long"))
+        cells = _summed(in_three_tables(signed, ["id"]), ["id", "width", "cell"])
+        left = materialize(decoded(cells, "id", rounds=rounds, digests=True))
         failed = left.where("cell >= 0").select("id").distinct()
         parts.append(left.join(failed, "id", "left_anti").select("id", F.col("key").alias("digest"), "n"))
         sets = materialize(sets.join(failed, "id", "left_semi"))
