@@ -327,6 +327,13 @@ def rolling_mean_padded(vec: Column, size: int, k: int) -> Column:
     return V.let(vec, smooth)
 
 
+def rolling_mean_strict(vec: Column, size: int, k: int) -> Column:
+    """As :func:`rolling_mean_padded`, but a window longer than the row raises ``ValueError``."""
+    if k < 1 or k > size:
+        raise ValueError(f"a window of {k} doesn't fit {size} entries")
+    return rolling_mean_padded(vec, size, k)
+
+
 def rolling_mean_truncated(vec: Column, size: int, k: int) -> Column:
     """Centred mean of k // 2 entries on each side, fewer at the borders."""
     half = k // 2

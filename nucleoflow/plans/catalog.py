@@ -3,6 +3,7 @@
 from nucleoflow.plans import (  # noqa: F401
     queries_cluster,
     queries_labels,
+    queries_matching,
     queries_network,
     queries_qc,
     queries_trajectory,
