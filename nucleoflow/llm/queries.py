@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nucleoflow.llm import lines, minhash, mixing, pieces, privacy, quality, sketches, suffixes, token_file, warc
+from nucleoflow.llm import lines, minhash, mixing, pieces, privacy, quality, sketches, suffixes, token_file, twins, warc
 from nucleoflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -28,7 +28,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, folder, "documents")).drop("kept")
 
 
-@query("op2_near_duplicates")
+@query("op2_near_duplicates", twins.OP2_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -59,7 +59,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(table(spark, folder, "documents"))
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", twins.OP8_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.assess(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
