@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,23 @@ def build_session(app: str = "nucleoflow", master: str | None = None, **conf) ->
     settings.update({k: str(v) for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the workers, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_nucleoflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="nucleoflow-src-")) / "nucleoflow-src.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._nucleoflow_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
