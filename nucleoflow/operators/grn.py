@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nucleoflow.functions import ordering as O
+from nucleoflow.functions import tails
 from nucleoflow.functions import strings as S
 from nucleoflow.functions import vectors as V
 from nucleoflow.operators import linking, tiles, trajectory
@@ -17,8 +18,8 @@ from nucleoflow.session import materialize
 MIN_BINS = 3
 
 
-def correlation_blocks(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Pearson r of every left row with every right row, tile by tile."""
+def correlation_blocks(left: DataFrame, right: DataFrame, left_key: str, right_key: str, n: int) -> DataFrame:
+    """Pearson r over n points, t and p of every left row with every right row, tile by tile."""
     l, r = linking.unit_profiles(left), linking.unit_profiles(right)
     nl, nr = tiles.tile_count(l), tiles.tile_count(r)
     key_types = dict(left.dtypes)["feature_id"], dict(right.dtypes)["feature_id"]
@@ -30,17 +31,22 @@ def correlation_blocks(left: DataFrame, right: DataFrame, left_key: str, right_k
 
     def kernel(row) -> pd.DataFrame:
         a, b = tiles.matrix(row.l_v, len(row.l_k)), tiles.matrix(row.r_v, len(row.r_k))
-        r = a @ b.T
+        r = np.clip(a @ b.T, -1.0, 1.0).ravel()
+        t, p = tails.pearson_tests(r, n)
         return pd.DataFrame(
             {
                 left_key: np.repeat(np.asarray(row.l_k), len(row.r_k)),
                 right_key: np.tile(np.asarray(row.r_k), len(row.l_k)),
-                "correlation": np.clip(r, -1.0, 1.0).ravel(),
+                "correlation": r,
+                "t_stat": t,
+                "p_value": p,
             }
         )
 
     return tiles.reduce_blocks(
-        pairs, kernel, f"{left_key} {key_types[0]}, {right_key} {key_types[1]}, correlation double"
+        pairs,
+        kernel,
+        f"{left_key} {key_types[0]}, {right_key} {key_types[1]}, correlation double, t_stat double, p_value double",
     )
 
 
@@ -65,8 +71,7 @@ def tf_gene_correlation(
         t = t.join(tfs.select(F.col("tf").alias("feature_id")), "feature_id", "left_semi")
     if genes is not None:
         g = g.join(genes.select(F.col("gene").alias("feature_id")), "feature_id", "left_semi")
-    r = correlation_blocks(materialize(t), materialize(g), "tf", "gene")
-    tested = materialize(linking.with_tests(r, "correlation", F.lit(n_bins), "t_stat", "p_value"))
+    tested = materialize(correlation_blocks(materialize(t), materialize(g), "tf", "gene", n_bins))
     return O.benjamini_hochberg(tested, "p_value", "fdr", fixed=True)
 
 
