@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nucleoflow.functions.ordering import numbered
 from nucleoflow.functions.vectors import let
-from nucleoflow.llm.common import null_back, small, texts
+from nucleoflow.llm.common import null_back, partitions, small, texts
 from nucleoflow.session import materialize
 
 #: A paragraph ends at a line break, or after a sentence whose last letter is one of a to m.
@@ -20,7 +20,7 @@ CHECK = 77
 #: Documents that share one sorted window, about.
 RUN_DOCS = 2000
 BORDERS = 2000
-ROUNDS = 15
+ROUNDS = 12
 
 
 def paragraphs(text: Column) -> Column:
@@ -137,7 +137,7 @@ def next_pairs(docs: DataFrame) -> DataFrame:
     guest = small(materialize(before.join(firsts.select(F.col("index").alias("before"), F.col("run").alias("to")), "before").select("first", "to")))
     own = rows.withColumn("guest", F.lit(False))
     guests = own.join(guest, F.col("doc_id") == F.col("first")).select("doc_id", "text", F.col("to").alias("run"), F.lit(True).alias("guest"))
-    both = own.union(guests.select(*own.columns))
+    both = own.union(guests.select(*own.columns)).repartition(4 * partitions(docs.sparkSession), "run")
     order = Window.partitionBy("run").orderBy("guest", "doc_id", "text")
     return both.select(
         "run",
@@ -215,8 +215,9 @@ def _likeness(pairs: DataFrame, factor: int) -> DataFrame:
     sized = sized.select("*", F.size("a").alias("na"), F.size("e").alias("ne"), F.size("b").alias("nb"))
     sized = sized.select("*", fingerprint(F.col("a")).alias("fa"), fingerprint(F.col("e")).alias("fe"))
     info = F.concat_ws("|", *longs, *strings)
-    width2 = (F.ceil(F.greatest("na", "ne") * 0.5 * factor) + 6).cast("long")
-    width3 = (F.ceil((F.col("na") + F.col("nb")) * 0.5 * factor) + 6).cast("long")
+    # only cells that hold something are rows, so wide tables cost little and fail rarely
+    width2 = (F.ceil(F.greatest("na", "ne") * 0.75 * factor) + 48 * factor).cast("long")
+    width3 = (F.ceil((F.col("na") + F.col("nb")) * 0.75 * factor) + 48 * factor).cast("long")
     # one row for the document, then a and e to be subtracted, then a and b
     digests = F.concat(F.array(F.lit(0).cast("long")), "a", "e", "a", "b")
     flat = sized.select("run", "place", info.alias("info"), "na", "ne", width2.alias("w2"), width3.alias("w3"), F.posexplode(digests).alias("pos", "key"))
