@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nucleoflow.llm.common import null_back, texts
+from nucleoflow.llm.common import null_back, stored, texts
 from nucleoflow.llm.hashing import byte_chunks, mix64
 from nucleoflow.session import materialize
 
@@ -42,6 +42,8 @@ LEAST_BUCKETS = 64
 GATHER = 1 << 21
 #: Anchors in more texts than this are hot; at most HOT_LIST of them, those in most texts.
 HOT, HOT_LIST = 50_000, 20_000
+#: Ids of exact copies that may be broadcast, 8 bytes each.
+FEW_COPIES = 1_000_000
 _P = np.uint64(0x100000001B3)
 
 
@@ -106,6 +108,16 @@ def _per_doc(doc: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes
     return doc[at].tolist(), [values[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Bytes of an array behind their length, compressed."""
+    raw = np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd"), dtype) for x in column.to_pylist()]
+
+
 def _join(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
@@ -232,7 +244,7 @@ def contexts(buckets: int, hot: np.ndarray):
         head, raw, to = head[by], raw[by], to[by]
         cuts = _firsts(to)
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), to.size], strict=True):
-            rows.append((int(to[a]), 0, head[a:b].tobytes(), raw[a:b].tobytes()))
+            rows.append((int(to[a]), 0, _packed(head[a:b].T), _packed(raw[a:b])))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
 
     def cut(data: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -342,8 +354,8 @@ def settle(table: pa.Table) -> pa.Table:
         ranges.append(row["bytes"])
     sent = table.filter(pa.array(kind == 0))
     if sent.num_rows:
-        head = _join(sent.column("head"), np.int64).reshape(-1, 5)
-        raw = _join(sent.column("bytes"), np.uint8).reshape(-1, SPAN)
+        head = np.concatenate([h.reshape(5, -1).T for h in _unpacked(sent.column("head"), np.int64)])
+        raw = np.concatenate([r.reshape(-1, SPAN) for r in _unpacked(sent.column("bytes"), np.uint8)])
         found = [x for x in _settled(head, raw) if x[0].size]
         if found:
             doc = np.concatenate([d for d, _ in found])
@@ -452,9 +464,12 @@ def removals(docs: DataFrame, hot_above: int = HOT) -> DataFrame:
     copies = materialize(named.join(first, "name").where("doc_id > first").select("doc_id").distinct())
     size = named.agg(F.sum("size")).first()[0] or 0
     buckets = min(1 << 22, max(LEAST_BUCKETS, size // BUCKET_BYTES))
-    own = rows.join(copies, "doc_id", "left_anti")
+    # copies needn't be asked for, but may: texts aren't shuffled for it when they are many
+    few = copies.limit(FEW_COPIES + 1).count() <= FEW_COPIES
+    own = rows.join(F.broadcast(copies), "doc_id", "left_anti") if few else rows
     asked = own.mapInArrow(ask(buckets), "bucket int, kind byte, doc binary, key binary, n binary")
-    shared = materialize(asked.groupBy("bucket").applyInArrow(lambda t: answer(t, hot_above), "doc_id long, keys binary, n long"))
+    answers = asked.groupBy("bucket").applyInArrow(lambda t: answer(t, hot_above), "doc_id long, keys binary, n long")
+    shared = stored(answers, "shared-anchors")
     hottest = shared.where("doc_id is null").orderBy(F.desc("n"), "keys").limit(HOT_LIST).select("keys").collect()
     hot = np.array([np.frombuffer(r[0], np.int64)[0] for r in hottest], np.int64)
     wanted = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
