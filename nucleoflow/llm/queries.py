@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nucleoflow.llm import lines, minhash, mixing, pieces, privacy, quality, sketches, suffixes, token_file, twins, warc
+from nucleoflow.llm.common import modest_batches
 from nucleoflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,6 +15,7 @@ PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
