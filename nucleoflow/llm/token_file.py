@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,7 +157,8 @@ class WordEncoder:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
+            kind = "H" if self.dtype is np.uint16 else "I"
+            self.cache.update((w, array(kind, e.ids).tobytes()) for w, e in zip(part, found, strict=True))
 
     def encode(self, many: list[str]) -> list[bytes]:
         split = [self._chunks(t) for t in many]
