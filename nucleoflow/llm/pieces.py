@@ -17,7 +17,8 @@ from nucleoflow.llm.common import fresh, null_back, texts
 
 SPACE = "▁"
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
-CACHE_SEGMENTS = 1_000_000
+#: Entries of a worker's caches: segments, and boundaries between pieces. About 200 MB in all.
+CACHE_SEGMENTS, CACHE_BOUNDARIES = 400_000, 300_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -197,7 +198,7 @@ class Transducer:
             cache = self.cache
             if len(cache) >= CACHE_SEGMENTS:
                 cache.clear()
-            if len(self.holds) >= CACHE_SEGMENTS:
+            if len(self.holds) >= CACHE_BOUNDARIES:
                 self.holds.clear()
             for k, found in enumerate(ids):
                 if found is None:
