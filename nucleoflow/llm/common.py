@@ -63,7 +63,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch; whole documents travel in them.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def modest_batches(spark: SparkSession) -> None:
