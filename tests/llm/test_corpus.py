@@ -345,6 +345,50 @@ def test_within_edits():
         assert lines.within_edits(a, b) == (brute.edit_distance(a, b) <= int(lines.EDITS * max(len(a), len(b))))
 
 
+def _edited(line, rng, share):
+    """``line`` with words replaced until about ``share`` of its letters have changed."""
+    words = line.split(" ")
+    for at in rng.sample(range(len(words)), max(1, int(share * len(words)))):
+        words[at] = "".join(rng.choices("abcdefgh", k=len(words[at])))
+    return " ".join(words)
+
+
+def test_near_copies_of_any_length_meet(spark):
+    """Against plain edit similarity: of pairs within EDITS at 5, 10, 20 and 40 words, nearly all are linked."""
+    rng = random.Random(8)
+    for n, least in ((5, 0.85), (10, 0.97), (20, 0.97), (40, 0.97)):
+        rows, pairs = [], 0
+        while pairs < 120:
+            a = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(n))
+            b = _edited(a, rng, 0.1)
+            if a != b and brute.edit_distance(a, b) <= int(lines.EDITS * max(len(a), len(b))):
+                rows += [(2 * pairs, a), (2 * pairs + 1, b)]
+                pairs += 1
+        found = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r.n_removed for r in found if r.doc_id % 2) >= least * pairs
+        assert not any(r.n_removed for r in found if r.doc_id % 2 == 0)
+
+
+def test_short_lines_all_meet(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefgh", k=rng.randint(4, 14))) for _ in range(60)]
+    texts = list(dict.fromkeys(base + [x[: (k := rng.randrange(len(x)))] + rng.choice("abcdefgh") + x[k + rng.randint(0, 1) :] for x in base]))
+    texts = [x for x in texts if len(x) < lines.SHORT]
+    groups = brute.Groups()
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if brute.edit_distance(a, texts[j]) <= int(lines.EDITS * max(len(a), len(texts[j]))):
+                groups.join(i, j)
+    found = lines.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found if r.n_removed} == {i for i in range(len(texts)) if groups.find(i) != i}
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "quite another line of the same id"), (2, "alpha beta gamma delta epsilom")]
+    found = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in found) == [(1, 0), (1, 0), (2, 1)]
+
+
 def test_close_hashes_with_long_runs(spark, monkeypatch):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(5)]
