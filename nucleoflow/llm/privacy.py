@@ -27,17 +27,22 @@ PATTERNS = {
 #: What a text must hold before the pattern is tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][0-9 -]{12,}[0-9]", "phone": r"\+[0-9]"}
 KINDS = [*PATTERNS, "term"]
-TERM = r"\p{L}{4,}+"
+#: Scripts written without spaces; a term is one to three neighbouring characters of them,
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+RUN = f"[{UNSPACED}]++"
+NEIGHBOURS = 3
+#: elsewhere a run of letters and digits.
+TERM = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]++"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-#: Least number of different lines in which a term and an entity must meet.
+#: Least number of lines, copies included, in which a term and an entity must meet.
 SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.9, 0.99
 GENERAL = "[TERM]"
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match) in code points, from the matches and the gaps between them."""
+def _places(text: Column, pattern: str, wanted=None) -> Column:
+    """Array of (start, end, match) in code points, from the matches and the gaps between them; of ``wanted`` matches only."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
@@ -46,7 +51,8 @@ def _places(text: Column, pattern: str) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
         here = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+        out = F.concat(acc["out"], F.array(here))
+        return F.struct(end.alias("at"), (out if wanted is None else F.when(wanted(pair["match"]), out).otherwise(acc["out"])).alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
     return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
@@ -112,28 +118,56 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
+def _parts(run: Column, at: Column) -> Column:
+    """Array of (start, end, match) of all terms in a run of unspaced characters that starts at ``at``."""
+    part = lambda i, n: F.struct((at + i - 1).alias("start"), (at + i - 1 + n).alias("end"), F.substring(run, i, n).alias("match"))
+    lengths = lambda i: F.sequence(F.lit(1), F.least(F.lit(NEIGHBOURS), F.length(run) - i + 1))
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.transform(lengths(i), lambda n: part(i, n))))
+
+
 def terms_of(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
+    low = F.lower(line)
+    words = F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(RUN), F.lit(0))
+    more = F.flatten(F.transform(runs, lambda r: F.transform(_parts(r, F.lit(0)), lambda p: p["match"])))
+    return F.array_distinct(F.when(low.rlike(RUN), F.concat(words, more)).otherwise(words))
+
+
+def _term_spans(text: Column, terms: Column) -> Column:
+    """(start, end, match) of the places of ``terms`` in a text."""
+    words = _places(text, TERM, lambda m: F.array_contains(terms, F.lower(m)))
+    parts = F.flatten(F.transform(_places(text, RUN), lambda r: _parts(r["match"], r["start"])))
+    parts = F.filter(parts, lambda p: F.array_contains(terms, F.lower(p["match"])))
+    return F.when(text.rlike(RUN), F.concat(words, parts)).otherwise(words)
+
+
+def _outside(line: Column, spans: Column) -> Column:
+    """The line with a space for each of its spans."""
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(line, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before, F.lit(" ")).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(line, acc["at"] + 1, F.length(line))))
 
 
 def revealing(rows: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) of the pairs that reach ``least``; rows have column text."""
     lines = rows.select(F.explode(F.split("text", "\n")).alias("line"))
-    hinted = lines.where(F.col("line").contains("@") | F.col("line").rlike("|".join(HINTS[k] for k in ("ip", "card", "phone"))))
-    bare = lambda line: F.regexp_replace(line, "|".join(PATTERNS[k] for k in ("email", "ip", "card", "phone")), " ")
-    named = hinted.select(
-        F.array_distinct(F.transform(base_spans(F.col("line")), entity)).alias("entities"),
-        terms_of(bare(F.col("line"))).alias("terms"),
-        F.xxhash64("line").alias("name"),
-    ).where(F.size("entities") > 0)
-    named = materialize(named)
+    hint = F.col("line").contains("@") | F.col("line").rlike("|".join(HINTS[k] for k in ("ip", "card", "phone")))
+    spans = lines.where(hint).select("line", base_spans(F.col("line")).alias("base"))
+    outside = terms_of(_outside(F.col("line"), F.col("base")))
+    named = spans.select(F.array_distinct(F.transform("base", entity)).alias("entities"), outside.alias("terms"))
+    named = materialize(named.where(F.size("entities") > 0))
     by_entity = materialize(named.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")))
-    met = named.select(F.explode("entities").alias("entity"), "terms", "name").select("entity", "name", F.explode("terms").alias("term"))
-    met = met.groupBy("entity", "term", "name").agg(F.count("*").alias("k")).groupBy("entity", "term")
-    pairs = materialize(met.agg(F.sum("k").alias("n_et"), F.count("*").alias("lines")).where(F.col("lines") >= support))
+    met = named.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    pairs = materialize(met.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
     wanted = materialize(pairs.select("term").distinct())
     total = rows.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 1
-    words = lines.select(F.explode(terms_of(F.col("line"))).alias("term"))
+    # what stands inside an entity is no term anywhere, so both counts are of the same texts
+    words = lines.where(~hint).select(F.explode(terms_of(F.col("line"))).alias("term"))
+    words = words.union(spans.select(F.explode(outside).alias("term")))
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         by_term = words.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
@@ -167,7 +201,7 @@ def found(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) ->
         )
     )
     both = keyed.join(small(flagged), ["doc_id", "name"], "left")
-    more = F.filter(_places(F.col("text"), TERM), lambda s: F.array_contains("terms", F.lower(s["match"])))
+    more = _term_spans(F.col("text"), F.col("terms"))
     apart = F.filter(_named("term", more), lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", apart)))
     return both.select("doc_id", "text", "base", spans.alias("spans"), F.coalesce("removed", empty).alias("removed"))

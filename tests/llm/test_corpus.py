@@ -512,3 +512,23 @@ def test_revealing_terms(spark):
     assert "boss@firm.org" not in clean[0] and "[EMAIL]" in clean[0] and "office" not in clean[0]
     assert clean[90] == "No address, but Zebulon" and clean[91].endswith("offices")
     assert clean[10] == rows[5][1]
+
+
+def test_terms_of_any_length_and_script(spark):
+    rows = [(i, f"Lee {i}k drives K7 B9 see lee@firm.org") for i in range(4)]
+    rows += [(10 + i, f"王小 {i}k 在家 +49 30 1234567890") for i in range(4)]
+    rows += [(20 + i, "file 4711 of ann@firm.org") for i in range(3)]
+    rows += [(30 + i, f"{i}z see drives file of plain words 在家") for i in range(60)]
+    rows += [(99, "1234567890123456 Lee\nlee@firm.org")]
+    found = {r.doc_id: set(r.spans.split(",")) for r in privacy.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {"term:0:3", "term:14:16", "term:17:19"} <= found[0] and "term:20:23" not in found[0]
+    assert {"term:0:1", "term:0:2", "term:1:2"} <= found[10] and "term:6:8" not in found[10]
+    assert "term:5:9" in found[20]  # the same line three times supports it
+    assert "term:17:20" in found[99]
+
+
+def test_term_counts_leave_out_entities(spark):
+    rows = [(i, f"{i}k boss is Quill quill@firm.org") for i in range(5)] + [(10 + i, f"quill@other{i}.org wrote") for i in range(30)]
+    rows += [(50 + i, f"{i}z plain words") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert privacy.revealing(df).where("term = 'quill' and disclosure > 0.999").count() == 1
