@@ -359,4 +359,4 @@ def tf_deviations(spark, d):
     depth = counts.groupBy("peak").agg(F.sum("value").alias("depth"))
     s = P.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tf"), F.col("s_nationkey"))
     match = P.motif_match(spark, d).join(s, "tf").groupBy("peak", F.col("s_nationkey").alias("tf")).agg(F.sum("score").alias("score"))
-    return rounded(motif.deviations(counts, match, f.join(depth, "peak"), 10), "deviation", "z")
+    return rounded(motif.deviations(counts, match, f.join(depth, "peak")), "deviation", "z")

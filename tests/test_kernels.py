@@ -295,3 +295,22 @@ def test_resumed_ensemble_runs_nothing_twice(spark, tmp_path, monkeypatch):
     first = sorted(map(tuple, ensemble.run(*args, resolution=0.5, n_neighbors=5).collect()))
     again = sorted(map(tuple, ensemble.run(*args, resolution=0.5, n_neighbors=5).collect()))
     assert first == again and len(calls) == 1
+
+
+def test_tf_deviations_draws_the_default_number_of_sets(spark, monkeypatch):
+    import inspect
+
+    from nucleoflow.operators import motif
+    from nucleoflow.plans import catalog
+
+    drawn, plain = [], inspect.signature(motif.deviations)
+
+    def noted(*args, **more):
+        call = plain.bind(*args, **more)
+        call.apply_defaults()
+        drawn.append(call.arguments["n_sets"])
+        return spark.createDataFrame([(1, 1, 0.0, 0.0)], "cell_id long, tf long, deviation double, z double")
+
+    monkeypatch.setattr(motif, "deviations", noted)
+    catalog.QUERIES["tf_deviations"](spark, "/root/testdata/sf0.001")
+    assert drawn == [plain.parameters["n_sets"].default]
