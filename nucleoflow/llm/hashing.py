@@ -45,12 +45,12 @@ def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word with A-Z lowered, first word of each text and the end).
 
-    Words are runs of bytes other than ASCII white space; none crosses texts.
+    Words are runs of bytes other than ``separators`` (ASCII white space); none crosses texts.
     """
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     before = np.concatenate([[False], inside[:-1]]) if data.size else inside
     before[offsets[:-1][offsets[:-1] < data.size]] = False
     starts = np.flatnonzero(inside & ~before)

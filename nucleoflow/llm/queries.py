@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nucleoflow.llm import lines, minhash, mixing, pieces, privacy, quality, sketches, suffixes, token_file, twins, warc
+from nucleoflow.llm import (
+    alignment,
+    lines,
+    minhash,
+    mixing,
+    nearest,
+    pieces,
+    privacy,
+    quality,
+    ranking,
+    sketches,
+    suffixes,
+    token_file,
+    twins,
+    warc,
+)
 from nucleoflow.llm.common import modest_batches
 from nucleoflow.llm.registry import ORACLES, QUERIES, query
 
@@ -12,6 +27,7 @@ __all__ = ["ORACLES", "QUERIES"]
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,3 +92,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_personal_data")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return privacy.report(table(spark, folder, "documents"))
+
+
+@query("op11_nearest_neighbours")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.neighbours(table(spark, folder, "embeddings"))
+
+
+@query("op12_ranked_search", ranking.OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.ranked(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.compared(table(spark, folder, "documents"), vocabulary(BYTES), vocabulary(PIECES))
