@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from nucleoflow.llm.hashing import byte_chunks
 SENT_PAIRS = 1 << 20
 #: Every so many ends, the search starts from the beginning of the text.
 STRIDE = 32
+#: Bytes of words whose tokens a worker remembers.
+REMEMBERED = 1 << 23
 
 
 class Spelled:
@@ -68,8 +71,68 @@ class ByteTokenizer:
         spelled = [names.get(i, "") for i in range(max(names) + 1)]
         self.spelled = Spelled([bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in spelled])
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.held = 0
+        self.flat, self.first, self.count = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _learn(self, words: list[bytes]) -> None:
+        found = self.model.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        lists = [e.ids for e in found]
+        count = np.array([len(x) for x in lists], np.int64)
+        self.first = np.append(self.first, self.flat.size + np.cumsum(count) - count)
+        self.count = np.append(self.count, count)
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum())))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.held += sum(map(len, words))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in ``data``, number of each text's), each with a space before it.
+
+        No token reaches over a single space between visible characters, so
+        what lies between such spaces is encoded once and remembered.
+        """
+        starts, inner = word_starts(data, offsets)
+        ends = np.append(starts[1:] - inner[1:], data.size)
+        raw = data.tobytes()
+        words = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if self.held + sum(map(len, new)) > REMEMBERED or len(self.known) + len(new) > REMEMBERED // 32:
+            self._forget()
+            new = list(dict.fromkeys(words))
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        count = self.count[at]
+        n = np.add.reduceat(count, np.flatnonzero(~inner)) if count.size else count
+        return self.flat[ragged(self.first[at], count)], n
+
+
+#: Bytes with which visible characters begin: none that begins white space beyond ASCII.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[33:127] = _VISIBLE[128:] = True
+_BEGINS = _VISIBLE.copy()
+_BEGINS[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a text begins or a word after a single space does, and which are of the second kind.
+
+    The characters beside the space are visible for sure; where UTF-8 leaves a
+    doubt, the space parts nothing. No text may be empty.
+    """
+    edge = np.zeros(data.size + 1, bool)
+    edge[offsets] = True
+    space = np.flatnonzero(data == 32)
+    space = space[~edge[space] & ~edge[space + 1]]
+    one, two, three = (data[np.maximum(space - k, 0)] for k in (1, 2, 3))
+    doubtful = (one > 127) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3)))
+    space = space[_VISIBLE[one] & ~doubtful & _BEGINS[data[space + 1]]]
+    starts = np.concatenate([offsets[:-1], space + 1])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], (order >= offsets.size - 1)
 
 
 class PieceTokenizer:
@@ -82,8 +145,13 @@ class PieceTokenizer:
         pieces = [(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(self.model.get_piece_size())]
         self.spelled = Spelled([bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces])
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in ``data``, number of each text's)."""
+        raw = data.tobytes()
+        edges = offsets.tolist()
+        lists = self.model.encode([raw[i:j].decode("utf-8", "replace") for i, j in zip(edges, edges[1:], strict=False)], num_threads=1)
+        n = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
 
 
 def gallop(drive: np.ndarray, into: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -138,13 +206,6 @@ def common_ends(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.n
     return a_at[order], b_at[order]
 
 
-def _tokens(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, number of each text's)."""
-    lists = tokenizer.ids(texts)
-    n = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(n.sum())), n
-
-
 def _spelling(spelled: Spelled, ids: np.ndarray, n: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which texts the tokens spell, a space before them."""
     length = spelled.length[ids]
@@ -167,11 +228,10 @@ def aligned(a: ByteTokenizer, b: PieceTokenizer, data: np.ndarray, offsets: np.n
     """Per text in ``data``: n_a, n_b, n_groups, n_links, digest; and per text and pair of linked ids: row, pair, times."""
     rows = offsets.size - 1
     full = np.flatnonzero(np.diff(offsets))
-    raw = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in full]
-    ids_a, n_a = _tokens(a, raw)
-    ids_b, n_b = _tokens(b, raw)
-    size = np.diff(offsets)[full]
-    here = data, np.append(0, np.cumsum(size))  # empty texts hold no bytes, so the rest lies without gaps
+    # empty texts hold no bytes, so the rest lies without gaps
+    here = data, np.append(0, np.cumsum(np.diff(offsets)[full]))
+    ids_a, n_a = a.ids(*here)
+    ids_b, n_b = b.ids(*here)
     good = _spelling(a.spelled, ids_a, n_a, *here) & _spelling(b.spelled, ids_b, n_b, *here)
     ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
     full, n_a, n_b = full[good], n_a[good], n_b[good]
