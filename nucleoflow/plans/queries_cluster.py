@@ -293,6 +293,15 @@ def community_labels(spark, d):
     return community.louvain(g, v.select(F.col("cell_idx").alias("node")), [0.8])
 
 
+@query("community_stability", "SELECT count(*) AS nodes, 0 AS improving, 0 AS parts_missing FROM embeddings")
+def community_stability(spark, d):
+    """Nodes that would better the modularity by a move, and parts of communities without links, of community_labels."""
+    v = P.vectors(spark, d)
+    g = materialize(community.neighbor_graph(v, "cell_idx", 15))
+    labels = materialize(community.louvain(g, v.select(F.col("cell_idx").alias("node")), [0.8]))
+    return community.stability(g, labels).select("nodes", "improving", "parts_missing")
+
+
 @query("resolution_search")
 def resolution_search(spark, d):
     v = P.vectors(spark, d)

@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -56,15 +57,33 @@ def test_tree_matches_brute_force(spark, monkeypatch):
     assert sorted((r.u, r.v, r.dist) for r in tree.collect()) == sorted(brute_tree(d))
 
 
-def test_cutting_is_the_same_distributed(spark, monkeypatch):
+def plain_levels(edges):
+    """Round in which taking away all leaves at once reaches each edge."""
+    left, out, step = set(edges), {}, 0
+    while left:
+        step += 1
+        degree = Counter(x for e in left for x in e)
+        gone = {e for e in left if 1 in (degree[e[0]], degree[e[1]])}
+        out |= dict.fromkeys(gone, step)
+        left -= gone
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 16, 5])
+def test_cutting_matches_peeling(spark, monkeypatch, block):
     x = np.random.default_rng(5).standard_normal((14, 2))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     tree = spark.createDataFrame([(int(i), int(j), float(w)) for i, j, w in brute_tree(d)], "u bigint, v bigint, dist double").cache()
-    local = spanning.cut_tree(tree, 3)
-    monkeypatch.setattr(spanning, "LOCAL_EDGES", 0)
-    spread = spanning.cut_tree(tree, 3)
-    assert np.allclose(local[1], spread[1])
-    assert sorted(local[0].collect()) == sorted(spread[0].select("u", "v", "dist").collect())
+    monkeypatch.setattr(spanning, "BLOCK_ARCS", block)
+    forest, scores = spanning.cut_tree(tree, 5)
+    left, want = [tuple(r) for r in tree.collect()], []
+    for _ in range(4):
+        level = plain_levels([(u, v) for u, v, _ in left])
+        best = max(left, key=lambda e: (level[e[:2]] * e[2], -e[2], -e[0], -e[1]))
+        want.append(level[best[:2]] * best[2])
+        left.remove(best)
+    assert np.allclose(scores, want)
+    assert sorted(tuple(r) for r in forest.collect()) == sorted(left)
 
 
 def test_line_clusters(spark):
@@ -113,17 +132,48 @@ def test_knn(spark, monkeypatch, order):
     assert all(got[i, k + 1] == int(np.argsort(d[i])[k]) for i in range(20) for k in range(3)) and len(got) == 60
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_communities(spark, monkeypatch, bound):
-    monkeypatch.setattr(community, "LOCAL_EDGES", bound)
+def test_communities(spark):
     e = [(a, b, 1.0) for g in (0, 5) for a, b in itertools.combinations(range(g, g + 5), 2)] + [(0, 5, 1.0)]
     edges = spark.createDataFrame(e, "src bigint, dst bigint, weight double")
     nodes = spark.range(11).withColumnRenamed("id", "node")
-    out = community.louvain(edges, nodes, [1.0], rounds=4, levels=2).withColumnRenamed("node", "id")
+    out = community.louvain(edges, nodes, [1.0]).withColumnRenamed("node", "id")
     got = labels_of(out)
     assert same_partition(got, [0] * 5 + [1] * 5 + [2])
 
 
+def modularity(w, label, resolution):
+    same = label[:, None] == label[None, :]
+    k = w.sum(1)
+    return (w[same].sum() - resolution * np.outer(k, k)[same].sum() / w.sum()) / w.sum()
+
+
+@pytest.mark.parametrize("block", [4096, 9])
+def test_communities_settle(spark, monkeypatch, block):
+    """No move of one node to any other community, or to its own, raises the modularity; communities are connected."""
+    monkeypatch.setattr(community, "BLOCK_NODES", block)
+    rng = np.random.default_rng(4)
+    group = np.arange(24) % 3
+    w = np.triu((rng.random((24, 24)) < np.where(group[:, None] == group[None, :], 0.4, 0.08)) * rng.uniform(0.5, 1, (24, 24)), 1)
+    w += w.T
+    edges = spark.createDataFrame([(int(a), int(b), float(w[a, b])) for a, b in zip(*np.nonzero(np.triu(w)))], "src bigint, dst bigint, weight double")
+    nodes = spark.range(24).withColumnRenamed("id", "node")
+    out = community.louvain(edges, nodes, [0.5, 1.0]).cache()
+    for resolution in (0.5, 1.0):
+        label = np.array(labels_of(out.where(F.col("resolution") == resolution).withColumnRenamed("node", "id")))
+        top = modularity(w, label, resolution)
+        assert resolution != 1.0 or top > modularity(w, group, 1.0) - 0.02
+        for i in range(24):
+            for c in {*label.tolist(), -1}:
+                moved = label.copy()
+                moved[i] = c
+                assert modularity(w, moved, resolution) <= top + 1e-9
+        for c in set(label.tolist()):
+            inside = np.flatnonzero(label == c)
+            reach = np.linalg.matrix_power((w[np.ix_(inside, inside)] > 0) + np.eye(inside.size), inside.size)
+            assert (reach > 0).all() and c == inside.min()
+    assert [tuple(r)[1:] for r in community.stability(edges, out).collect()] == [(24, 0, 0)] * 2
+
+
 def test_resolution_choice():
     grid = [(0.3, 5), (0.4, 6), (0.5, 6), (0.6, 6), (0.7, 9)]
     assert [community.pick_resolution(grid, t) for t in (6, 8, 7)] == [0.5, 0.7, 0.4]
