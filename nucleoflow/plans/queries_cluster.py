@@ -260,17 +260,43 @@ def gene_score_clusters(spark, d):
     return p.join(labels.select("x", "label"), "x").select("id", "label")
 
 
-@query("mst_edges")
+#: Rounds in which the SQL twin joins components by their shortest edges; each halves them, so 2^12 vectors are covered.
+_ROUNDS = 12
+cte("join0", ["vecs"], "SELECT cell_idx AS id, cell_idx AS comp FROM vecs")
+for _r in range(1, _ROUNDS + 1):
+    _b = f"join{_r - 1}"
+    cte(f"short{_r}", ["dist", _b], f"""SELECT a.comp, min({{'d': d, 'u': least(i, j), 'v': greatest(i, j)}}) AS e FROM dist JOIN {_b} a ON a.id = i
+        JOIN {_b} b ON b.id = j WHERE a.comp <> b.comp GROUP BY 1""")
+    cte(f"join{_r}", [_b, f"short{_r}"], f"""WITH RECURSIVE links AS (SELECT x.comp AS a, y.comp AS b FROM short{_r} JOIN {_b} x ON x.id = e.u
+        JOIN {_b} y ON y.id = e.v), ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(a, b) AS (SELECT DISTINCT comp, comp FROM {_b}
+        UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b)
+        SELECT id, m AS comp FROM {_b} JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = comp""")
+_EDGES = " UNION ".join(f"SELECT e.u AS u, e.v AS v, e.d AS d FROM short{r}" for r in range(1, _ROUNDS + 1))
+cte("cut0", [f"short{r}" for r in range(1, _ROUNDS + 1)], _EDGES)
+for _r in range(1, 8):
+    # the longest way from a node by each neighbour; what is longest without the edge's own other end is the height of that side
+    cte(f"best{_r}", [f"cut{_r - 1}"], f"""WITH RECURSIVE ways AS (SELECT u AS a, v AS b FROM cut{_r - 1} UNION ALL SELECT v, u FROM cut{_r - 1}),
+        walk(s, f, p, c, n) AS (SELECT a, b, a, b, 1 FROM ways UNION ALL SELECT s, f, c, b, n + 1 FROM walk JOIN ways ON a = c AND b <> p),
+        h AS (SELECT s, f, max(n) AS h FROM walk GROUP BY 1, 2)
+        SELECT u, v, d, (1 + least(max(coalesce(x.h, 0)), max(coalesce(y.h, 0)))) * d AS score FROM cut{_r - 1} LEFT JOIN h x ON x.s = u AND x.f <> v
+        LEFT JOIN h y ON y.s = v AND y.f <> u GROUP BY u, v, d ORDER BY score DESC, d, u, v LIMIT 1""")
+    cte(f"cut{_r}", [f"cut{_r - 1}", f"best{_r}"], f"SELECT u, v, d FROM cut{_r - 1} ANTI JOIN best{_r} USING (u, v)")
+cte("parts", ["vecs", "cut4"], """WITH RECURSIVE ways AS (SELECT u AS a, v AS b FROM cut4 UNION ALL SELECT v, u FROM cut4), reach(a, b) AS
+    (SELECT cell_idx, cell_idx FROM vecs UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b)
+    SELECT a AS cell_idx, min(b) AS part FROM reach GROUP BY 1""")
+
+
+@query("mst_edges", sql(["cut0"], f"SELECT u, v, {R('d')} AS dist FROM cut0"))
 def mst_edges(spark, d):
     return rounded(spanning.spanning_tree(P.vectors(spark, d), "cell_idx"), "dist")
 
 
-@query("tree_clusters")
+@query("tree_clusters", sql(["parts"], "SELECT cell_idx, (dense_rank() OVER (ORDER BY part) - 1)::INT AS label FROM parts"))
 def tree_clusters(spark, d):
     return spanning.tree_clusters(P.vectors(spark, d), "cell_idx", 5)[0]
 
 
-@query("tree_cut_curve")
+@query("tree_cut_curve", sql([f"best{r}" for r in range(1, 8)], " UNION ALL ".join(f"SELECT {r} AS step, {R('score')} AS score FROM best{r}" for r in range(1, 8))))
 def tree_cut_curve(spark, d):
     tree = materialize(spanning.spanning_tree(P.vectors(spark, d), "cell_idx"))
     return rounded(spanning.curve_table(spark, spanning.cut_tree(tree, 8)[1]), "score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -74,3 +75,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute once, store reliably, and drop the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a new table in the shared folder and read back.
+
+    Unlike a checkpoint it carries no constraints on: in loops of self-joins
+    those double with every round, and with them the time to plan it.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
