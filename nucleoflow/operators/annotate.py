@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -109,10 +110,17 @@ def batch_annotate(queries: DataFrame, markers: DataFrame) -> DataFrame:
     )
 
 
-def annotate_with(queries: DataFrame, call: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
+#: Seconds to wait after each attempt that failed but the last.
+BACK_OFF = (1.0, 2.0, 4.0)
+
+
+def annotate_with(
+    queries: DataFrame, call: Callable[[str], str], prompt: str = "prompt", back_off: tuple[float, ...] = BACK_OFF
+) -> DataFrame:
     """Send each prompt to a caller-supplied function; failures become text.
 
-    One retry ladder of three attempts, as remote services need.
+    A prompt is tried once and again after each wait of ``back_off``. A null
+    prompt isn't sent and has a null answer.
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
 
@@ -120,8 +128,12 @@ def annotate_with(queries: DataFrame, call: Callable[[str], str], prompt: str =
         for batch in batches:
             answers = []
             for text in batch[prompt]:
+                if pd.isna(text):
+                    answers.append(None)
+                    continue
                 error = None
-                for _ in range(3):
+                for wait in (0.0, *back_off):
+                    time.sleep(wait)
                     try:
                         answers.append(call(text))
                         break

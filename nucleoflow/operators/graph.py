@@ -268,8 +268,13 @@ def centrality(edges: DataFrame) -> DataFrame:
     return out
 
 
-def node_importance(measures: DataFrame) -> DataFrame:
-    """Distance from the lowest corner in (z PageRank, z betweenness)."""
+def node_importance(measures: DataFrame, factors: DataFrame | None = None) -> DataFrame:
+    """Distance from the lowest corner in (z PageRank, z betweenness).
+
+    Only nodes among ``factors`` (column ``name``) are rated, against each other; None rates all.
+    """
+    if factors is not None:
+        measures = measures.join(factors.select(F.col("name").alias("node")).distinct(), "node", "left_semi")
     m = F.struct(
         F.avg("pagerank").alias("pm"),
         F.stddev_samp("pagerank").alias("ps"),

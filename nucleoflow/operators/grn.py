@@ -11,7 +11,7 @@ from nucleoflow.functions import ordering as O
 from nucleoflow.functions import tails
 from nucleoflow.functions import strings as S
 from nucleoflow.functions import vectors as V
-from nucleoflow.operators import linking, tiles, trajectory
+from nucleoflow.operators import linking, matching, tiles, trajectory
 from nucleoflow.schemas import GRN_ALIASES, canonical_names, require_columns
 from nucleoflow.session import materialize
 
@@ -92,9 +92,16 @@ def select_tfs(
     p_cutoff: float = 0.01,
     n_tfs: int | None = None,
     n_bins: int = 100,
+    symbols: DataFrame | None = None,
+    require: bool = False,
 ) -> DataFrame:
     """One row per factor with both profiles: tests, filter flags, ranks, time point.
 
+    If no expression profile has the name of a factor, names are replaced
+    through ``symbols`` (name, symbol); of profiles that get the same symbol
+    that of the first name counts, and still none in common is a ``ValueError``.
+    With ``require``, so is a result in which no factor passes.
+
     ``activity`` and ``expression`` are profiles keyed by factor name in
     ``feature_id``. Constant rows are skipped. Time points are spread over every
     factor with activity, not over the selected ones.
@@ -106,6 +113,10 @@ def select_tfs(
         return df.where(V.sample_variance(F.col("vec")) > 0)
 
     a, e = varying(activity), varying(expression)
+    if symbols is not None:
+        rows = e.select(F.col("feature_id").alias("name"), F.col("feature_id").alias("id"), "vec")
+        named = matching.common_names(a.select(F.col("feature_id").alias("name")), rows, symbols)
+        e = materialize(named.groupBy(F.col("name").alias("feature_id")).agg(F.min_by("vec", "id").alias("vec")))
     pairs = a.select(F.col("feature_id").alias("tf")).join(
         e.select(F.col("feature_id").alias("tf")), "tf", "left_semi"
     )
@@ -121,6 +132,8 @@ def select_tfs(
     out = materialize(out.withColumn("pass_filters", passed))
     out = O.with_ranks(out, "correlation", {"correlation_rank_all": O.min_rank_desc()}, fixed=True)
     good = out.where("pass_filters")
+    if require and good.isEmpty():
+        raise ValueError(f"no factor has a correlation above {correlation_threshold} and an adjusted p below {p_cutoff}")
     ranked = O.with_ranks(
         good.select("tf", "correlation"), "correlation", {"correlation_rank_passed": O.min_rank_desc()}, fixed=True
     ).select("tf", "correlation_rank_passed")

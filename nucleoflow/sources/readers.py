@@ -147,6 +147,17 @@ def read_knowledge_base(spark: SparkSession, path: str) -> DataFrame:
     return explode_knowledge_base(spark.read.schema(KNOWLEDGE_BASE).json(path))
 
 
+def read_keyed_knowledge_base(spark: SparkSession, path: str) -> DataFrame:
+    """Marker rows from files that hold one object each, with a member for every tissue."""
+    from nucleoflow.operators.annotate import explode_knowledge_base
+
+    entry = KNOWLEDGE_BASE.split(", ", 1)[1]
+    whole = spark.read.text(path, wholetext=True)
+    by_tissue = F.from_json("value", f"MAP<STRING, STRUCT<{entry.replace('gene_index', 'gene_index:').replace('cell_metadata', 'cell_metadata:')}>>")
+    rows = whole.select(F.explode(by_tissue).alias("tissue", "entry"))
+    return explode_knowledge_base(rows.select("tissue", "entry.gene_index", "entry.cell_metadata"))
+
+
 def read_grn(spark: SparkSession, path: str) -> DataFrame:
     """Network table with normalised factor names; support may be missing."""
     df = canonical_names(spark.read.option("header", True).csv(path), schemas.GRN_ALIASES)

@@ -1,5 +1,6 @@
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from nucleoflow.functions import strings as S
 from nucleoflow.functions import tails
 from nucleoflow.functions import vectors as V
-from nucleoflow.operators import annotate, consensus, grn, linking, motif, qc, trajectory
+from nucleoflow.operators import annotate, consensus, graph, grn, linking, motif, qc, trajectory
 from nucleoflow.sources import readers, sinks
 from nucleoflow.streaming import incremental
 
@@ -83,6 +84,52 @@ def test_annotator_callback(spark):
     assert {r.prompt: r.answer for r in annotate.annotate_with(df, call).collect()} == {"x": "X", "bad": "ERROR: no"}
 
 
+def test_annotator_waits(spark, tmp_path):
+    """A prompt that fails twice is answered at the third attempt, after two waits; null isn't sent."""
+    log = str(tmp_path / "calls")
+
+    def call(text):
+        with open(log, "a") as f:
+            f.write(f"{time.time()}\n")
+        if len(open(log).readlines()) < 3:
+            raise RuntimeError("busy")
+        return text
+
+    df = spark.createDataFrame([("x",), (None,)], "prompt string").coalesce(1)
+    got = {r.prompt: r.answer for r in annotate.annotate_with(df, call, back_off=(0.1, 0.2)).collect()}
+    at = [float(x) for x in open(log)]
+    assert got == {"x": "x", None: None} and len(at) == 3 and at[1] - at[0] >= 0.1 and at[2] - at[1] >= 0.2
+    assert annotate.BACK_OFF == (1.0, 2.0, 4.0)
+
+
+def test_factor_importance(spark):
+    rows = [("a", 0.1, 0.0), ("b", 0.2, 1.0), ("c", 0.4, 0.5), ("g", 9.0, 9.0)]
+    measures = spark.createDataFrame(rows, "node string, pagerank double, betweenness double")
+    factors = spark.createDataFrame([("a",), ("b",), ("c",), ("absent",)], "name string")
+    got = {r.node: r.importance for r in graph.node_importance(measures, factors).collect()}
+    x = np.array([r[1:] for r in rows[:3]])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    want = np.sqrt(((z - z.min(0)) ** 2).sum(1))
+    assert list(sorted(got)) == ["a", "b", "c"] and np.allclose([got[k] for k in "abc"], want)
+    assert graph.node_importance(measures).count() == 4
+
+
+def test_factor_symbols(spark):
+    rng = np.random.default_rng(3)
+    up = np.linspace(0, 1, 20)
+    act = {"T1": up, "T2": up[::-1]}
+    expr = {"id1": up + 0.01 * rng.random(20), "id2": up, "id3": rng.random(20)}
+    frame = lambda d: spark.createDataFrame([(k, [float(x) for x in v]) for k, v in d.items()], "feature_id string, vec array<double>")
+    symbols = spark.createDataFrame([("id1", "T1"), ("id2", "T2"), ("id3", "T1")], "name string, symbol string")
+    out = {r.tf: r for r in grn.select_tfs(frame(act), frame(expr), n_bins=20, symbols=symbols).collect()}
+    assert set(out) == {"T1", "T2"} and out["T1"].correlation > 0.99 and out["T2"].correlation < -0.99
+    assert out["T1"].selected and not out["T2"].selected
+    with pytest.raises(ValueError, match="common"):
+        grn.select_tfs(frame(act), frame(expr), n_bins=20, symbols=symbols.where("symbol = 'X'"))
+    with pytest.raises(ValueError, match="no factor"):
+        grn.select_tfs(frame({"T2": act["T2"]}), frame({"T2": up}), n_bins=20, require=True)
+
+
 def test_tails(spark):
     t = tails.pearson_t(F.lit(0.5), F.lit(100))
     assert abs(one(spark, t) - 5.715476) < 1e-6
@@ -161,6 +208,10 @@ def test_readers(spark, tmp_path):
     kb = {"tissue": "Liver", "gene_index": {"A (B)": ["X"]}, "cell_metadata": {"X": {"total_markers": 3, "cancer_type": "Normal"}}}
     (tmp_path / "kb.json").write_text(json.dumps(kb))
     assert tuple(readers.read_knowledge_base(spark, str(tmp_path / "kb.json")).first()) == ("Liver", "X", "A", "B", 3, "Normal")
+    keyed = {"Liver": {k: kb[k] for k in ("gene_index", "cell_metadata")}, "Lung": {"gene_index": {"C": ["Y", "Z"]}, "cell_metadata": {}}, "Skin": {"gene_index": {}}}
+    (tmp_path / "keyed.json").write_text(json.dumps(keyed, indent=2))
+    rows = sorted(tuple(r) for r in readers.read_keyed_knowledge_base(spark, str(tmp_path / "keyed.json")).collect())
+    assert rows == [("Liver", "X", "A", "B", 3, "Normal"), ("Lung", "Y", "C", None, 0, "Unknown"), ("Lung", "Z", "C", None, 0, "Unknown")]
     with pytest.raises(ValueError):
         readers.read_any(spark, "x.h5ad")
 
