@@ -47,12 +47,24 @@ PARSED_DDL = (
 )
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record; a revisit has no block, only its headers."""
+#: Date of records whose pages have none; not the time of writing, which no page was captured at.
+UNDATED = "1970-01-01T00:00:00Z"
+_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+
+
+def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str, date: str = UNDATED) -> bytes:
+    """One record; a response's block is an HTTP message, a revisit has no block, only its headers.
+
+    ``place`` is where the record starts, as archive:offset. It makes ids of
+    repeated pages differ. A revisit names the page it refers to in a header of
+    its own, as no other record's place is known when it is written.
+    """
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{page_id}:{place}>",
+        f"WARC-Date: {date}",
+        "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
     ]
@@ -60,8 +72,8 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
         head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
-    block = payload if refers_to is None else b""
+        head.append(f"X-Refers-To-Page: {refers_to}")
+    block = _HTTP % len(payload) + payload if refers_to is None else b""
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -72,20 +84,19 @@ def parse(data: bytes) -> dict:
     if lines[0] != "WARC/1.1":
         raise ValueError(f"not a record: {lines[0][:40]!r}")
     fields = dict(x.split(": ", 1) for x in lines[1:])
-    number = lambda name: int(fields[name][len("<urn:page:") : -1]) if name in fields else None
     kind = fields["WARC-Type"]
-    payload = rest[: int(fields["Content-Length"])] if kind == "response" else None
+    payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2] if kind == "response" else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
         raise ValueError(f"digest of {fields['WARC-Record-ID']} differs")
     url = fields.get("WARC-Target-URI")
     return {
-        "page_id": number("WARC-Record-ID"),
+        "page_id": int(fields["WARC-Record-ID"].split(":")[2]),
         "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
         "payload_bytes": int(fields["X-Payload-Length"]),
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": number("WARC-Refers-To"),
+        "refers_to": int(fields["X-Refers-To-Page"]) if "X-Refers-To-Page" in fields else None,
         "payload": payload,
     }
 
@@ -114,7 +125,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     Each record is a gzip member, so a byte range can be read alone. A task
     writes archives with names of its own; an attempt that is lost leaves files
     which no index row names. Null html counts as empty, a null url has no
-    header, repeated page_ids are records each; no page, no archive.
+    header, repeated page_ids are records each, with ids of their own; no page,
+    no archive. The table has no dates, so all records bear UNDATED.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
                     path, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{root}/{path}", compression=None)
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                data = gzip.compress(record(page_id, url, payload, digest, refers_to), 3, mtime=0)
+                data = gzip.compress(record(page_id, url, payload, digest, refers_to, f"{path}:{at}"), 3, mtime=0)
                 out.write(data)
                 rows.append((page_id, path, at, len(data), url, digest, "response" if refers_to is None else "revisit"))
                 at += len(data)

@@ -1,8 +1,10 @@
 """Corpus operators against plain versions, on small tables with odd rows."""
 
 import base64
+import gzip
 import hashlib
 import random
+import re
 import sys
 import zlib
 from collections import defaultdict
@@ -471,6 +473,25 @@ def test_warc(spark, tmp_path):
         assert r.refers_to == (None if leader == r.page_id else leader)
         assert r.url in urls[r.page_id]
         assert r.payload == (raw if r.record_type == "response" else None)
+    # what any reader of the format relies on, read without the operator: whole members, headers, blocks, ids
+    ids = []
+    for path in sorted((tmp_path / "w").glob("*.warc.gz")):
+        data = gzip.decompress(path.read_bytes())
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            first_line, *more = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in more)
+            assert first_line == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type", "Content-Length"} <= fields.keys()
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+            n = int(fields["Content-Length"])
+            block, end, data = rest[:n], rest[n : n + 4], rest[n + 4 :]
+            assert end == b"\r\n\r\n"
+            if fields["WARC-Type"] == "response":
+                http, _, body = block.partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200") and b"Content-Length: %d" % len(body) in http
+                assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+            ids.append(fields["WARC-Record-ID"])
+    assert len(set(ids)) == len(ids) == len(rows)
     some = warc.read_records(index.where("page_id in (9, 2)"), folder).collect()
     assert sorted(r.page_id for r in some) == [2, 9, 9]
     small = str(tmp_path / "s")
