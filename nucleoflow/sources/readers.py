@@ -14,6 +14,7 @@ from nucleoflow.container import Multiome
 from nucleoflow.functions import strings as S
 from nucleoflow.schemas import canonical_names, require_columns
 from nucleoflow.session import materialize
+from nucleoflow.sources import files
 
 
 def read_multiome(spark: SparkSession, folder: str) -> Multiome:
@@ -66,7 +67,7 @@ def read_any(spark: SparkSession, path: str):
         return spark.read.option("header", True).csv(path)
     if suffix in (".tsv", ".txt"):
         return spark.read.option("header", True).option("sep", "\t").csv(path)
-    if suffix == "" and Path(path).is_dir():
+    if suffix == "" and files.is_folder(spark, path):
         return read_multiome(spark, path)
     raise ValueError(f"unsupported input {path!r}")
 
@@ -175,16 +176,13 @@ def read_grn(spark: SparkSession, path: str) -> DataFrame:
 
 def read_parameters(path: str, required: tuple[str, ...] = ()) -> dict:
     """JSON parameters or manifest; missing keys raise ``ValueError``."""
-    data = json.loads(Path(path).read_text())
+    data = json.loads(files.read_text(SparkSession.active(), path))
     missing = sorted(set(required) - set(data))
     if missing:
         raise ValueError(f"{path} lacks {missing}")
     return data
 
 
-def newest(folder: str, pattern: str) -> Path:
+def newest(folder: str, pattern: str) -> str:
     """Most recently changed match."""
-    found = sorted(Path(folder).glob(pattern), key=lambda p: p.stat().st_mtime)
-    if not found:
-        raise FileNotFoundError(f"nothing matches {pattern} in {folder}")
-    return found[-1]
+    return files.newest(SparkSession.active(), folder, pattern)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nucleoflow.container import Multiome
+from nucleoflow.sources import files
 
 
 def write_multiome(data: Multiome, folder: str) -> None:
@@ -36,8 +36,7 @@ def write_consensus(pairs: DataFrame, path: str) -> None:
 
 def path_exists(spark, path: str) -> bool:
     """Whether a path exists in whatever file system its scheme names."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return files.exists(spark, path)
 
 
 def append_iteration(labels: DataFrame, path: str) -> None:
@@ -65,8 +64,7 @@ def write_bundle(tables: dict[str, DataFrame], folder: str, info: dict | None =
         df.write.mode("overwrite").parquet(path)
         manifest["paths"][name] = path
         manifest["rows"][name] = df.sparkSession.read.parquet(path).count()
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "manifest.json").write_text(json.dumps(manifest, indent=2))
+    files.write_text(SparkSession.active(), f"{folder}/manifest.json", json.dumps(manifest, indent=2))
     return manifest
 
 

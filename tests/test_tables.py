@@ -1,11 +1,13 @@
 import json
 import math
+import os
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nucleoflow.container import Multiome
 from nucleoflow.functions import strings as S
 from nucleoflow.functions import tails
 from nucleoflow.functions import vectors as V
@@ -216,6 +218,28 @@ def test_readers(spark, tmp_path):
         readers.read_any(spark, "x.h5ad")
 
 
+def test_small_files(spark, tmp_path):
+    """Manifest, parameters and newest match go through the cluster's file system, with or without a scheme."""
+    folder = f"file://{tmp_path}/out"
+    df = spark.createDataFrame([(1,), (2,)], "x int")
+    want = sinks.write_bundle({"a": df}, folder, {"title": "é"})
+    assert readers.read_parameters(f"{folder}/manifest.json", ("rows", "title")) == want and want["rows"] == {"a": 2}
+    assert readers.read_parameters(str(tmp_path / "out" / "manifest.json"))["title"] == "é"
+    sinks.write_bundle({}, folder, {"title": "b"})
+    assert readers.read_parameters(f"{folder}/manifest.json")["title"] == "b"
+    with pytest.raises(ValueError, match="lacks"):
+        readers.read_parameters(f"{folder}/manifest.json", ("absent",))
+    for i, name in enumerate(("net_2.csv", "net_1.csv", "other.csv")):
+        (tmp_path / name).write_text(name)
+        os.utime(tmp_path / name, (1000 + i, 1000 + i))
+    assert readers.newest(f"file://{tmp_path}", "net_*.csv").endswith("/net_1.csv")
+    assert readers.newest(str(tmp_path), "*.csv").endswith("/other.csv")
+    with pytest.raises(FileNotFoundError):
+        readers.newest(str(tmp_path), "*.none")
+    sinks.write_multiome(Multiome(*[spark.createDataFrame([("rna", 1)], "modality string, x int")] * 3), f"{folder}/m")
+    assert readers.read_any(spark, f"{folder}/m").cells.count() == 1
+
+
 def test_bundle_and_resume(spark, tmp_path):
     df = spark.createDataFrame([(0, "a")], "iter int, x string")
     assert sinks.write_bundle({"a b": df}, str(tmp_path / "out"))["rows"] == {"a b": 1}
