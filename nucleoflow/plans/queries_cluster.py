@@ -302,11 +302,71 @@ def tree_cut_curve(spark, d):
     return rounded(spanning.curve_table(spark, spanning.cut_tree(tree, 8)[1]), "score")
 
 
-@query("ward_clusters")
+def _merges_sql(method: str) -> str:
+    """One merge a step: ``st`` holds every pair of clusters, ``s`` what their pairs sum up to, ``d`` their dissimilarity."""
+    ward = method == "ward"
+    joined = {"average": "sum(s)", "complete": "max(s)", "ward": "sum(CASE WHEN met THEN (oa + ob) * s ELSE s END)"}[method]
+    start = "sum((p.x - q.x) * (p.x - q.x))" if ward else "sqrt(sum((p.x - q.x) * (p.x - q.x)))"
+    s = "CASE WHEN met THEN (s - nk * md) / (na + nb) ELSE s END" if ward else "s"
+    d = "s / (na * nb)" if method == "average" else s
+    return f"""pt AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+    st(step, a, b, na, nb, s, d) AS (
+        SELECT 0, p.id, q.id, 1, 1, {start}, {start} FROM pt p JOIN pt q ON p.k = q.k AND p.id < q.id GROUP BY p.id, q.id
+        UNION ALL
+        SELECT step, a, b, na, nb, {s}, {d} FROM (
+            SELECT step + 1 AS step, least(x, y) AS a, greatest(x, y) AS b, min(CASE WHEN x < y THEN nx ELSE ny END) AS na,
+                min(CASE WHEN x < y THEN ny ELSE nx END) AS nb, {joined} AS s, bool_or(met) AS met, min(CASE WHEN x = m_a THEN ny ELSE nx END) AS nk, min(md) AS md
+            FROM (SELECT st.step, st.s, st.na AS oa, st.nb AS ob, m.a AS m_a, m.d AS md, st.a IN (m.a, m.b) OR st.b IN (m.a, m.b) AS met,
+                    CASE WHEN st.a = m.b THEN m.a ELSE st.a END AS x, CASE WHEN st.b = m.b THEN m.a ELSE st.b END AS y,
+                    CASE WHEN st.a IN (m.a, m.b) THEN m.na + m.nb ELSE st.na END AS nx, CASE WHEN st.b IN (m.a, m.b) THEN m.na + m.nb ELSE st.nb END AS ny
+                FROM st, (SELECT a, b, na, nb, d FROM st ORDER BY d, a, b LIMIT 1) m)
+            WHERE x <> y GROUP BY 1, 2, 3)),
+    mg AS (SELECT arg_min(a, (d, a, b)) AS a, arg_min(b, (d, a, b)) AS b, {"sqrt(min(d))" if ward else "min(d)"} AS height,
+        arg_min(na + nb, (d, a, b))::DOUBLE AS size FROM st GROUP BY step)"""
+
+
+def _dendrogram_sql(method: str) -> str:
+    return f"WITH RECURSIVE {_merges_sql(method)} SELECT a, b, {R('height')} AS height, size FROM mg"
+
+
+def _cut_sql(method: str, k: int) -> str:
+    return f"""WITH RECURSIVE {_merges_sql(method)},
+    kept AS MATERIALIZED (SELECT a, b FROM (SELECT *, row_number() OVER (ORDER BY height DESC, size DESC, a, b) AS r FROM mg) WHERE r > {k - 1}),
+    up(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT up.id, kept.a FROM up JOIN kept ON kept.b = up.root)
+    SELECT id AS cell_idx, (dense_rank() OVER (ORDER BY root) - 1)::INT AS label FROM (SELECT id, min(root) AS root FROM up GROUP BY id)"""
+
+
+@query("ward_clusters", _cut_sql("ward", 10))
 def ward_clusters(spark, d):
     return hierarchy.ward_clusters(P.vectors(spark, d), "cell_idx", 10)
 
 
+@query("ward_dendrogram", _dendrogram_sql("ward"))
+def ward_dendrogram(spark, d):
+    return rounded(hierarchy.ward_merges(P.vectors(spark, d), "cell_idx"), "height")
+
+
+def _linkage(spark, d, method):
+    v = P.vectors(spark, d)
+    return hierarchy.vector_pairs(v, "cell_idx"), v.select(F.col("cell_idx").alias("node")), method
+
+
+@query("average_dendrogram", _dendrogram_sql("average"))
+def average_dendrogram(spark, d):
+    return rounded(hierarchy.linkage_merges(*_linkage(spark, d, "average")), "height")
+
+
+@query("complete_dendrogram", _dendrogram_sql("complete"))
+def complete_dendrogram(spark, d):
+    return rounded(hierarchy.linkage_merges(*_linkage(spark, d, "complete")), "height")
+
+
+@query("complete_clusters", _cut_sql("complete", 10))
+def complete_clusters(spark, d):
+    pairs, nodes, method = _linkage(spark, d, "complete")
+    return hierarchy.linkage_clusters(pairs, nodes, 10, method).withColumnRenamed("node", "cell_idx")
+
+
 @query("kmeans_labels")
 def kmeans_labels(spark, d):
     return embed.kmeans(P.vectors(spark, d), "cell_idx", 10)

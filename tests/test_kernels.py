@@ -112,9 +112,9 @@ def brute_ward(x, k):
     return out
 
 
-@pytest.mark.parametrize("bound", [2000, 6])
-def test_ward(spark, monkeypatch, bound):
-    monkeypatch.setattr(hierarchy, "LOCAL_CLUSTERS", bound)
+@pytest.mark.parametrize("block", [1024, 6])
+def test_ward(spark, monkeypatch, block):
+    monkeypatch.setattr(hierarchy, "BLOCK", block)
     x = np.random.default_rng(1).standard_normal((24, 2))
     assert same_partition(labels_of(hierarchy.ward_clusters(points(spark, x), "id", 4)), brute_ward(x, 4))
 
