@@ -58,18 +58,8 @@ def _weights(weights: dict[str, float] | None) -> dict[str, float]:
     return {m: 1.0 for m in METHODS} if weights is None else weights
 
 
-def co_clustering(
-    labels: DataFrame, weights: dict[str, float] | None = None, cells: DataFrame | None = None
-) -> DataFrame:
-    """(i, j, w_cluster, w_sample, value) for every i < j sampled or not.
-
-    ``cells`` (column cell_idx) lists all cells; without it those in ``labels``
-    are all there are.
-
-    Cells are tiles of packed label rows; a pair of tiles is counted by NumPy in
-    one task. Noise counts on neither side. Pairs never sampled together get 0.
-    The result has one row per pair of cells by definition.
-    """
+def _codes(labels: DataFrame, weights: dict[str, float] | None, cells: DataFrame | None) -> tuple[DataFrame, np.ndarray]:
+    """(id, codes) of all cells, a label per run that has a weight, and those weights."""
     weights = _weights(weights)
     coded = labels.where(F.col("label") != NOISE).groupBy(F.col("cell_idx").alias("id")).agg(
         F.collect_list(F.struct(F.concat_ws("|", "iter", "method").alias("run"), "label")).alias("seen")
@@ -102,19 +92,39 @@ def co_clustering(
             ),
         ).alias("codes"),
     )
-    packed = materialize(packed)
+    return materialize(packed), np.array([v for _, v in runs])
+
+
+def _counts(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the runs in which rows of ``a`` and ``b`` are both seen, and in which they have one label."""
+    together = (a != NOISE) * w @ (b != NOISE).T.astype(float)
+    same = np.zeros_like(together)
+    for m in range(a.shape[1]):
+        left = a[:, m][:, None]
+        same += w[m] * ((left == b[:, m][None, :]) & (left != NOISE))
+    return together, same
+
+
+def co_clustering(
+    labels: DataFrame, weights: dict[str, float] | None = None, cells: DataFrame | None = None
+) -> DataFrame:
+    """(i, j, w_cluster, w_sample, value) for every i < j sampled or not.
+
+    ``cells`` (column cell_idx) lists all cells; without it those in ``labels``
+    are all there are.
+
+    Cells are tiles of packed label rows; a pair of tiles is counted by NumPy in
+    one task. Noise counts on neither side. Pairs never sampled together get 0.
+    The result has one row per pair of cells by definition.
+    """
+    packed, w = _codes(labels, weights, cells)
     n_tiles = tiles.tile_count(packed)
     blocks = tiles.pack(packed, "id", {"c": F.col("codes")}, n_tiles)
-    w = np.array([v for _, v in runs])
 
     def kernel(row) -> pd.DataFrame | None:
         a = np.asarray(row.l_c, dtype=np.int64).reshape(len(row.l_k), -1)
         b = np.asarray(row.r_c, dtype=np.int64).reshape(len(row.r_k), -1)
-        together = (a != NOISE) * w @ (b != NOISE).T.astype(float)
-        same = np.zeros_like(together)
-        for m in range(a.shape[1]):
-            left = a[:, m][:, None]
-            same += w[m] * ((left == b[:, m][None, :]) & (left != NOISE))
+        together, same = _counts(a, b, w)
         li, ri = np.asarray(row.l_k), np.asarray(row.r_k)
         if row.l_tile == row.r_tile:
             x, y = np.nonzero(li[:, None] < ri[None, :])
@@ -142,7 +152,42 @@ def consensus_auc(pairs: DataFrame) -> DataFrame:
     Equal values add no area except at their last occurrence, so the sum runs
     over distinct levels and needs only each level's successor.
     """
-    levels = materialize(O.level_table(pairs, "value"))
+    return _area(materialize(O.level_table(pairs, "value")))
+
+
+def consensus_auc_of(
+    labels: DataFrame, weights: dict[str, float] | None = None, cells: DataFrame | None = None
+) -> DataFrame:
+    """``consensus_auc`` of the pairs of ``co_clustering``, which are counted by value and not stored.
+
+    Cells with the same labels in all runs are one row with their number.
+    """
+    packed, w = _codes(labels, weights, cells)
+    kinds = packed.groupBy("codes").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
+    kinds = materialize(kinds)
+    n = tiles.tile_count(kinds)
+    blocks = tiles.pack(kinds, "id", {"c": F.col("codes"), "m": F.col("m")}, n)
+
+    def kernel(row) -> pd.DataFrame | None:
+        lm, rm = np.asarray(row.l_m, dtype=np.int64), np.asarray(row.r_m, dtype=np.int64)
+        a = np.asarray(row.l_c, dtype=np.int64).reshape(len(lm), -1)
+        b = np.asarray(row.r_c, dtype=np.int64).reshape(len(rm), -1)
+        together, same = _counts(a, b, w)
+        pairs = lm[:, None] * rm[None, :]
+        if row.l_tile == row.r_tile:
+            pairs = np.triu(pairs, 1) + np.diag(lm * (lm - 1) // 2)
+        value = np.divide(same, together, out=np.zeros_like(same), where=together != 0)
+        return added(pd.DataFrame({"value": value[pairs > 0], "ties": pairs[pairs > 0]}))
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby("value", as_index=False)["ties"].sum()
+
+    parts = tiles.reduce_blocks(blocks, blocks, n, n, kernel, "value double, ties bigint", True, added)
+    hist = parts.groupBy("value").agg(F.sum("ties").alias("ties"))
+    return _area(materialize(O.levels_from_histogram(hist, "value")))
+
+
+def _area(levels: DataFrame) -> DataFrame:
     inside = Window.partitionBy("_b").orderBy("value")
     first = levels.groupBy("_b").agg(F.min("value").alias("_f"))
     nxt = Window.orderBy("_b")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nucleoflow.operators import neighbors, quality, tiles
+from nucleoflow.operators import consensus, neighbors, quality, tiles
 
 
 def points(spark, x, label=0):
@@ -69,3 +69,15 @@ def test_knn_ties_over_blocks(spark, monkeypatch):
     out = neighbors.knn(points(spark, x), points(spark, x), 5, "id", "id", exclude_self=True)
     got = {(r.id, r.nn_rank): r.neighbor for r in out.collect()}
     assert got == {(i, k + 1): j for i in range(60) for k, j in enumerate(np.argsort(d[i], kind="stable")[:5].tolist())}
+
+
+def test_auc_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE_ROWS", 4)
+    rng = np.random.default_rng(7)
+    rows = [(i, m, c, int(rng.integers(-1, 3))) for i in range(2) for m in ("Kmeans", "Seurat") for c in range(50) if (c + i) % 5]
+    labels = spark.createDataFrame(rows, "iter int, method string, cell_idx bigint, label int")
+    cells = spark.range(53).withColumnRenamed("id", "cell_idx")
+    weights = {"Kmeans": 0.5, "Seurat": 0.25}
+    want = consensus.consensus_auc(consensus.co_clustering(labels, weights, cells)).first()
+    got = consensus.consensus_auc_of(labels, weights, cells).first()
+    assert got.n_pairs == want.n_pairs == 53 * 52 // 2 and got.auc == pytest.approx(want.auc)
