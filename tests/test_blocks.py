@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nucleoflow.operators import consensus, neighbors, quality, tiles
+from nucleoflow.operators import consensus, linking, neighbors, quality, tiles
 
 
 def points(spark, x, label=0):
@@ -81,3 +81,19 @@ def test_auc_without_pairs(spark, monkeypatch):
     want = consensus.consensus_auc(consensus.co_clustering(labels, weights, cells)).first()
     got = consensus.consensus_auc_of(labels, weights, cells).first()
     assert got.n_pairs == want.n_pairs == 53 * 52 // 2 and got.auc == pytest.approx(want.auc)
+
+
+def test_links_in_parts_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(linking, "PART", 3)
+    rng = np.random.default_rng(8)
+    place = rng.integers(0, 60, 40) * 10
+    peaks = spark.createDataFrame([(i, "a" if i % 4 else None, int(s), int(s) + 10) for i, s in enumerate(place)], "peak bigint, chr string, start bigint, end bigint")
+    genes = peaks.select((F.col("peak") + 100).alias("gene"), "chr", "start", "end", F.lit("+").alias("strand"))
+    vec = [(i, rng.standard_normal(8).tolist()) for i in range(35)]
+    left = spark.createDataFrame(vec, "feature_id bigint, vec array<double>")
+    right = left.withColumn("feature_id", F.col("feature_id") + 100)
+    want = linking.correlate_pairs(linking.band_join(peaks, genes, 100.0), left, right, "peak", "gene", 8)
+    got = linking.band_tests(peaks, genes, left, right, 100.0, 8)
+    key = ["peak", "gene", "chr", "distance", "Correlation", "TStat", "pvalue"]
+    plain = lambda df: sorted((*r[:4], *(round(x, 9) for x in r[4:])) for r in df.select(*key).collect())
+    assert plain(got) == plain(want) and len(plain(got)) > 100
