@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nucleoflow.operators import consensus, linking, neighbors, quality, tiles
+from nucleoflow.operators import consensus, drivers, linking, neighbors, quality, tiles
 
 
 def points(spark, x, label=0):
@@ -97,3 +97,30 @@ def test_links_in_parts_of_tiles(spark, monkeypatch):
     key = ["peak", "gene", "chr", "distance", "Correlation", "TStat", "pvalue"]
     plain = lambda df: sorted((*r[:4], *(round(x, 9) for x in r[4:])) for r in df.select(*key).collect())
     assert plain(got) == plain(want) and len(plain(got)) > 100
+
+
+def test_programs_leave_no_factor_by_cell_table(spark, monkeypatch):
+    monkeypatch.setattr(tiles.tile_count, "__defaults__", (7,))
+    rng = np.random.default_rng(8)
+    x = rng.poisson(0.3, (30, 12)).astype(float)
+    x[:, 11] = 2.0  # no spread: counts as a target, adds nothing
+    expr = [(i, f"g{j}", float(x[i, j])) for i in range(30) for j in range(12) if x[i, j]]
+    expr = spark.createDataFrame([*expr, (None, "g1", 3.0), (99, "g1", 3.0)], "cell_id bigint, gene string, value double")
+    cells = spark.createDataFrame([(i,) for i in range(31)], "cell_id bigint")
+    wanted = {f"t{t}": [t % 11, (t + 1) % 11, (t * 5 + 3) % 11] for t in range(15)} | {"last": [11, 2], "few": [4]}
+    named = [(t, f"g{j}") for t, js in wanted.items() for j in js]
+    targets = spark.createDataFrame([*named, (None, "g1"), (None, "g2")], "tf string, gene string")
+    scores = drivers.program_scores(expr, targets, cells, 2)
+    # nothing groups or joins the scores once tiles have met
+    assert scores._jdf.queryExecution().optimizedPlan().nodeName() == "FlatMapCoGroupsInPandas"
+    got = {(r.tf, r.cell_id): r for r in scores.collect()}
+    full = np.vstack([x, np.zeros(12)])
+    sd = full.std(0)
+    z = (full - full.mean(0)) / np.where(sd > 0, sd, 1.0)
+    want = {(t, i): z[i, js].mean() for t, js in wanted.items() if len(js) > 1 for i in range(30) if x[i, js].any()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k].program_score - v) < 1e-9 and got[k].n_targets == len(wanted[k[0]]) for k, v in want.items())
+    rows = cells.selectExpr("cell_id", "array(1D, double(cell_id)) AS b")
+    for r in drivers.program_sums(expr, targets, cells, rows, 2, 2).collect():
+        s = z[:, wanted[r.TF]].mean(1)
+        assert np.allclose([r.yy, r.sy, *r.xy], [s @ s, s.sum(), s.sum(), s @ np.arange(31)])
