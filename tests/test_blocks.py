@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nucleoflow.operators import consensus, drivers, linking, neighbors, quality, tiles
+from nucleoflow.operators import consensus, drivers, linking, motif, neighbors, quality, tiles
 
 
 def points(spark, x, label=0):
@@ -124,3 +124,31 @@ def test_programs_leave_no_factor_by_cell_table(spark, monkeypatch):
     for r in drivers.program_sums(expr, targets, cells, rows, 2, 2).collect():
         s = z[:, wanted[r.TF]].mean(1)
         assert np.allclose([r.yy, r.sy, *r.xy], [s @ s, s.sum(), s.sum(), s @ np.arange(31)])
+
+
+def test_deviations_from_blocks_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(motif, "BLOCK_CELLS", 7)
+    rng = np.random.default_rng(3)
+    x = rng.poisson(0.6, (20, 30)).astype(float)
+    counts = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(20) for j in range(30) if x[i, j]], "cell_id bigint, peak bigint, value double")
+    bound = {t: sorted(rng.choice(30, 9, replace=False).tolist()) for t in "abc"}
+    match = spark.createDataFrame([(t, j, 1.0) for t, js in bound.items() for j in js] + [("a", 0, 0.0)], "tf string, peak bigint, score double")
+    peaks = spark.createDataFrame([(j, float(j % 5), float(x[:, j].sum())) for j in range(30)], "peak bigint, gc double, depth double")
+    out = motif.deviations(counts, match, peaks, 6)
+    # what is seen of a set stays in the task that takes the factor and the block of cells
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.tf, r.cell_id): r for r in out.collect()}
+    back = {}
+    for r in motif.background_peaks(peaks, 6).collect():
+        back.setdefault(r.set, {})[r.peak] = r.background
+
+    def off(js):
+        expected = x.sum(1) * x[:, js].sum() / x.sum()
+        return np.divide(x[:, js].sum(1) - expected, expected, out=np.zeros(20), where=expected > 0)
+
+    cells = [i for i in range(20) if x[i].any()]
+    assert got.keys() == {(t, i) for t in bound for i in cells}
+    for t, js in bound.items():
+        d = np.stack([off([back[s][j] for j in js]) for s in range(6)])
+        raw, z = off(js) - d.mean(0), (off(js) - d.mean(0)) / d.std(0, ddof=1)
+        assert all(abs(got[t, i].deviation - raw[i]) < 1e-9 and abs(got[t, i].z - z[i]) < 1e-6 for i in cells)
