@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nucleoflow.container import Multiome
 from nucleoflow.functions import ordering as O
 from nucleoflow.functions import strings as S
-from nucleoflow.session import materialize
+from nucleoflow.session import materialize, written
 
 
 @dataclass(frozen=True)
@@ -128,14 +128,17 @@ def quality_control(
     """RNA filter, ATAC filter and cell sync; returns long counts with modality.
 
     ``sync_first`` counts peak support on shared cells only, as the pipeline for
-    supplied labels does.
+    supplied labels does. Counts are written once as they come and once filtered,
+    so that what they derive from is computed once.
     """
-    rna = filter_rna(rna, genes, limits, mt_pattern)
+    rna = written(filter_rna(written(rna), genes, limits, mt_pattern))
+    atac = written(atac)
     if sync_first:
         shared = shared_cells(rna, atac)
-        atac = filter_atac(atac.join(shared, "cell_id", "left_semi"), peaks, limits.min_cells_per_peak)
+        atac = filter_atac(written(atac.join(shared, "cell_id", "left_semi")), peaks, limits.min_cells_per_peak)
     else:
         atac = filter_atac(atac, peaks, limits.min_cells_per_peak)
+    atac = written(atac)
     shared = materialize(shared_cells(rna, atac))
     both = rna.withColumn("modality", F.lit("rna")).unionByName(
         atac.withColumn("modality", F.lit("atac"))
