@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -70,44 +70,13 @@ class ByteTokenizer:
         names = {i: t for t, i in self.model.get_vocab(with_added_tokens=True).items()}
         spelled = [names.get(i, "") for i in range(max(names) + 1)]
         self.spelled = Spelled([bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in spelled])
+        # no token reaches over a single space between visible characters
+        self.parts = True
 
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.held = 0
-        self.flat, self.first, self.count = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.model.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        count = np.array([len(x) for x in lists], np.int64)
-        self.first = np.append(self.first, self.flat.size + np.cumsum(count) - count)
-        self.count = np.append(self.count, count)
-        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum())))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.held += sum(map(len, words))
-
-    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in ``data``, number of each text's), each with a space before it.
-
-        No token reaches over a single space between visible characters, so
-        what lies between such spaces is encoded once and remembered.
-        """
-        starts, inner = word_starts(data, offsets)
-        ends = np.append(starts[1:] - inner[1:], data.size)
-        raw = data.tobytes()
-        words = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if self.held + sum(map(len, new)) > REMEMBERED or len(self.known) + len(new) > REMEMBERED // 32:
-            self._forget()
-            new = list(dict.fromkeys(words))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        count = self.count[at]
-        n = np.add.reduceat(count, np.flatnonzero(~inner)) if count.size else count
-        return self.flat[ragged(self.first[at], count)], n
+    def encode(self, texts: list[bytes]) -> list[list[int]]:
+        """Ids of each text, a space before it."""
+        found = self.model.encode_batch_fast([" " + t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [e.ids for e in found]
 
 
 #: Bytes with which visible characters begin: none that begins white space beyond ASCII.
@@ -144,14 +113,117 @@ class PieceTokenizer:
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(self.model.get_piece_size())]
         self.spelled = Spelled([bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces])
+        self.parts = _parts_words(self.model)
+
+    def encode(self, texts: list[bytes]) -> list[list[int]]:
+        """Ids of each text, a space before it."""
+        return self.model.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)
+
+
+def _parts_words(model) -> bool:
+    """Whether a SentencePiece model encodes what lies between spaces by itself: merges of text as it is, none of which takes a space behind a character."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model.serialized_model_proto())
+    rules, bpe = proto.normalizer_spec, sentencepiece_model_pb2.TrainerSpec.BPE
+    plain = rules.add_dummy_prefix and rules.escape_whitespaces and not (rules.precompiled_charsmap or rules.remove_extra_whitespaces)
+    inside = (i for i, p in enumerate(proto.pieces) if "▁" in p.piece.lstrip("▁") or p.type == p.USER_DEFINED)
+    return bool(plain and proto.trainer_spec.model_type == bpe and not proto.trainer_spec.treat_whitespace_as_suffix and next(inside, None) is None)
+
+
+class Words:
+    """Both encodings of the words that a worker has met lately.
+
+    What lies between single spaces beside visible characters is encoded once
+    and remembered, by each tokenizer that takes such words by themselves.
+    """
 
-    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in ``data``, number of each text's)."""
-        raw = data.tobytes()
-        edges = offsets.tolist()
-        lists = self.model.encode([raw[i:j].decode("utf-8", "replace") for i, j in zip(edges, edges[1:], strict=False)], num_threads=1)
-        n = np.array([len(x) for x in lists], np.int64)
-        return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+    def __init__(self, *tokenizers: ByteTokenizer | PieceTokenizer):
+        self.tokenizers = tokenizers
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.held = 0
+        self.tables = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.tokenizers]
+
+    def _learn(self, words: list[bytes]) -> None:
+        for k, tokenizer in enumerate(self.tokenizers):
+            if tokenizer.parts:
+                ids, n = encoded_words(tokenizer, words)
+                flat, count = self.tables[k]
+                self.tables[k] = np.append(flat, ids), np.append(count, n)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.held += sum(map(len, words))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each tokenizer (ids of all texts in ``data``, number of each text's), each with a space before it."""
+        starts, inner = word_starts(data, offsets)
+        kept = np.ones(data.size, bool)
+        kept[starts[inner] - 1] = False  # the spaces between words
+        edges = np.append(starts - np.cumsum(inner), data.size - int(inner.sum()))
+        packed = pa.Array.from_buffers(pa.large_binary(), starts.size, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data[kept])])
+        coded = packed.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
+        if self.held + sum(map(len, new)) > REMEMBERED or len(self.known) + len(new) > REMEMBERED // 32:
+            self._forget()
+            new = words
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        firsts, raw = np.flatnonzero(~inner), None
+        out = []
+        for tokenizer, (flat, count) in zip(self.tokenizers, self.tables, strict=True):
+            if tokenizer.parts:
+                n = count[at]
+                out.append((flat[ragged((np.cumsum(count) - count)[at], n)], np.add.reduceat(n, firsts) if n.size else n))
+            else:
+                raw = data.tobytes() if raw is None else raw
+                out.append(_flat_ids(tokenizer.encode([raw[i:j] for i, j in pairwise(offsets.tolist())])))
+        return out
+
+
+def _flat_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+
+
+#: Bytes of words that are encoded as one text.
+LINE = 1 << 12
+
+
+def encoded_words(tokenizer: ByteTokenizer | PieceTokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of each word's).
+
+    Words that begin and end with characters sure to be visible are encoded in
+    lines of many and told apart by the bytes their tokens spell, others one by one.
+    """
+    length = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(length + 1) - length - 1
+    joined = np.frombuffer(b" ".join(words), np.uint8)
+    apart = np.zeros(joined.size + 2, bool)
+    apart[word_starts(joined, np.array([0, joined.size]))[0]] = True
+    apart[0] = False
+    sure = apart[first] & apart[first + length + 1]
+    lined = np.flatnonzero(sure)
+    line = np.cumsum(length[lined] + 1) // LINE
+    cuts = np.append(np.flatnonzero(np.diff(line, prepend=-1)), lined.size).tolist()
+    chosen = [words[k] for k in lined.tolist()]
+    ids, _ = _flat_ids(tokenizer.encode([b" ".join(chosen[i:j]) for i, j in pairwise(cuts)]))
+    ends, want = np.cumsum(tokenizer.spelled.length[ids]), np.cumsum(length[lined] + 1)
+    last = np.searchsorted(ends, want)
+    if lined.size and (last[-1] != ids.size - 1 or (ends[last] != want).any()):  # a token that doesn't spell its bytes
+        return _flat_ids(tokenizer.encode(words))
+    alone = np.flatnonzero(~sure)
+    more, n_more = _flat_ids(tokenizer.encode([words[k] for k in alone.tolist()]))
+    n = np.empty(len(words), np.int64)
+    n[lined], n[alone] = np.diff(last, prepend=-1), n_more
+    # ids in the order of the words
+    begin = np.empty(len(words), np.int64)
+    begin[lined], begin[alone] = np.cumsum(n[lined]) - n[lined], ids.size + np.cumsum(n_more) - n_more
+    return np.append(ids, more)[ragged(begin, n)], n
 
 
 def gallop(drive: np.ndarray, into: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -224,14 +296,14 @@ def _spelling(spelled: Spelled, ids: np.ndarray, n: np.ndarray, data: np.ndarray
     return fits
 
 
-def aligned(a: ByteTokenizer, b: PieceTokenizer, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list]:
+def aligned(words: Words, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list]:
     """Per text in ``data``: n_a, n_b, n_groups, n_links, digest; and per text and pair of linked ids: row, pair, times."""
     rows = offsets.size - 1
     full = np.flatnonzero(np.diff(offsets))
     # empty texts hold no bytes, so the rest lies without gaps
     here = data, np.append(0, np.cumsum(np.diff(offsets)[full]))
-    ids_a, n_a = a.ids(*here)
-    ids_b, n_b = b.ids(*here)
+    a, b = words.tokenizers
+    (ids_a, n_a), (ids_b, n_b) = words.ids(*here)
     good = _spelling(a.spelled, ids_a, n_a, *here) & _spelling(b.spelled, ids_b, n_b, *here)
     ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
     full, n_a, n_b = full[good], n_a[good], n_b[good]
@@ -289,12 +361,12 @@ def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteTokenizer(path_a), PieceTokenizer(path_b)
+        words = Words(ByteTokenizer(path_a), PieceTokenizer(path_b))
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, data, offsets in byte_chunks(batch.column(1)):
                 rows = offsets.size - 1
-                got = aligned(a, b, data, offsets)
+                got = aligned(words, data, offsets)
                 ends = np.append(0, np.searchsorted(got["row"], np.arange(rows), "right"))
                 pairs = pa.StructArray.from_arrays([pa.array(got[k], pa.int32()) for k in ("a", "b", "times")], names=["a", "b", "times"])
                 columns = [batch.column(0).slice(first, rows), pa.array(key + np.arange(rows))]
