@@ -42,7 +42,7 @@ def triangles(edges: DataFrame) -> DataFrame:
     """Triangles and clustering coefficient per node, direction ignored.
 
     Every edge points from the lower to the higher degree, so a hub that holds
-    most edges opens few wedges.
+    most edges opens few wedges. Those of an edge travel as one array of ends.
     """
     flat = edges.where("src <> dst").select(
         F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
@@ -62,13 +62,16 @@ def triangles(edges: DataFrame) -> DataFrame:
             F.when(up, F.col("b")).otherwise(F.col("a")).alias("hi"),
         )
     )
-    first = directed.select(F.col("lo").alias("x"), F.col("hi").alias("y"))
-    second = directed.select(F.col("lo").alias("y"), F.col("hi").alias("z"))
-    closing = directed.select(F.col("lo").alias("x"), F.col("hi").alias("z"))
-    found = first.join(second, "y").join(closing, ["x", "z"])
-    per_node = found.select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(
-        F.count(F.lit(1)).alias("n_triangles")
+    above = directed.groupBy("lo").agg(F.collect_list("hi").alias("his"))
+    beyond = above.select(F.col("lo").alias("hi"), F.col("his").alias("ends"))
+    found = directed.join(beyond, "hi").join(above, "lo")
+    found = found.select("lo", "hi", F.array_intersect("his", "ends").alias("ends"))
+    entry = lambda node, n: F.struct(node.alias("node"), n.cast("bigint").alias("n"))
+    corners = F.concat(
+        F.array(entry(F.col("lo"), F.size("ends")), entry(F.col("hi"), F.size("ends"))),
+        F.transform("ends", lambda x: entry(x, F.lit(1))),
     )
+    per_node = found.select(F.inline(corners)).groupBy("node").agg(F.sum("n").alias("n_triangles"))
     out = deg.join(per_node, "node", "left").fillna(0, ["n_triangles"])
     d = F.col("deg")
     return out.select(
