@@ -126,6 +126,28 @@ def test_programs_leave_no_factor_by_cell_table(spark, monkeypatch):
         assert np.allclose([r.yy, r.sy, *r.xy], [s @ s, s.sum(), s.sum(), s @ np.arange(31)])
 
 
+def test_programs_of_every_cell_and_factor(spark, monkeypatch):
+    monkeypatch.setattr(tiles.tile_count, "__defaults__", (7,))
+    rng = np.random.default_rng(9)
+    x = rng.poisson(0.2, (30, 12)).astype(float)
+    x[:, 11] = 2.0
+    x[5] = 0.0  # one row in the table, of a gene that is no target
+    x[29, 0] = 4.0  # stored under a null cell
+    ids = [*range(29), None]
+    expr = [(ids[i], f"g{j}", float(x[i, j])) for i in range(30) for j in range(12) if x[i, j]]
+    expr = spark.createDataFrame([*expr, (5, "other", 1.0)], "cell_id bigint, gene string, value double")
+    wanted = {f"t{t}": [t % 11, (t + 1) % 11, (t * 5 + 3) % 11] for t in range(15)} | {"few": [4], None: [1, 2]}
+    targets = spark.createDataFrame([(t, f"g{j}") for t, js in wanted.items() for j in js], "tf string, gene string")
+    rows = drivers.whole_program_scores(expr, targets, expr.select("cell_id").distinct()).collect()
+    got = {(r.tf, r.cell_id): r for r in rows}
+    sd = x.std(0)
+    x_of = np.where(np.arange(30)[:, None] == 29, 0.0, x)  # no one cell has what a null cell stores
+    z = (x_of - x.mean(0)) / np.where(sd > 0, sd, np.inf)
+    assert len(rows) == len(got) and got.keys() == {(t, c) for t in wanted for c in ids}
+    for (t, c), r in got.items():
+        assert abs(r.program_score - z[29 if c is None else c, wanted[t]].mean()) < 1e-9 and r.n_targets == len(wanted[t])
+
+
 def test_deviations_from_blocks_of_cells(spark, monkeypatch):
     monkeypatch.setattr(motif, "BLOCK_CELLS", 7)
     rng = np.random.default_rng(3)
