@@ -553,3 +553,30 @@ def test_term_counts_leave_out_entities(spark):
     rows += [(50 + i, f"{i}z plain words") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert privacy.revealing(df).where("term = 'quill' and disclosure > 0.999").count() == 1
+
+
+def test_shared_keys_are_compared_without_broadcasts(spark):
+    # key 1: lines 1, 2, 3 of one group; key 2: line 4 apart from 5 and 6; key 3: two lines, already tried
+    lines_of = {1: [1, 2, 3], 2: [4, 5, 6], 3: [7, 8]}
+    stars = [(k, x[0], y, 20, 20, len(x)) for k, x in lines_of.items() for y in x if y != x[0] or len(x) > 2]
+    stars = spark.createDataFrame(stars, "key long, na long, nb long, la int, lb int, size long")
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)], "norm long, component long")
+    apart = lines._apart(stars, groups)
+    assert "Broadcast" not in apart._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in apart.collect()} == {(4, 5), (4, 6)}
+
+
+def test_band_keys_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HELD_KEYS", 100)
+    words = "lantern river copper meadow thistle harbour signal window".split()
+    held = [(i * 7 - 20, " ".join(words[(i // 3 + j) % 8] for j in range(5)) + f" {i % 3}") for i in range(40)]
+    keys, of = lines.band_keys(
+        np.frombuffer("".join(x for _, x in held).encode(), np.uint8), np.cumsum([0, *(len(x) for _, x in held)]), np.array([len(x) for _, x in held])
+    )
+    met = {}
+    for k, i in zip(keys.tolist(), of.tolist(), strict=True):
+        met.setdefault(k, set()).add(held[i])
+    want = sorted((min(x)[0], n, len(min(x)[1]), len(t), len(x)) for x in met.values() for n, t in x if n != min(x)[0] or len(x) > 2)
+    held = spark.createDataFrame(held, "norm long, line string").repartition(3)
+    found = lines._stars(lines._banded(held, 5)).collect()
+    assert sorted((r.na, r.nb, r.la, r.lb, r.size) for r in found) == want and want
