@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nucleoflow.operators import consensus, drivers, linking, motif, neighbors, quality, tiles
+from nucleoflow.operators import consensus, drivers, grn, linking, motif, neighbors, quality, tiles
 
 
 def points(spark, x, label=0):
@@ -174,3 +174,18 @@ def test_deviations_from_blocks_of_cells(spark, monkeypatch):
         d = np.stack([off([back[s][j] for j in js]) for s in range(6)])
         raw, z = off(js) - d.mean(0), (off(js) - d.mean(0)) / d.std(0, ddof=1)
         assert all(abs(got[t, i].deviation - raw[i]) < 1e-9 and abs(got[t, i].z - z[i]) < 1e-6 for i in cells)
+
+
+def test_pairs_leave_from_stored_tiles(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE_ROWS", 4)
+    monkeypatch.setattr(tiles.tile_count, "__defaults__", (4,))
+    monkeypatch.setattr(tiles, "READ_TILES", 2)
+    x = np.random.default_rng(10).standard_normal((31, 6))
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(31)], "feature_id bigint, vec array<double>")
+    found = grn.correlation_blocks(rows.where("feature_id < 9"), rows, "tf", "gene", 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan  # no side is copied or sent to all
+    got = {(r.tf, r.gene): r.correlation for r in found.collect()}
+    want = np.corrcoef(x)
+    assert got.keys() == {(i, j) for i in range(9) for j in range(31)}
+    assert all(abs(r - want[k]) < 1e-9 for k, r in got.items())
